@@ -22,7 +22,7 @@ DEFAULTS = {
 def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
     """A session for tests and benches; production sessions come from outside."""
     builder = SparkSession.builder.master(f"local[{cpus}]")
-    base = {"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": str(cpus)}
+    base = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": str(cpus)}
     for key, value in (DEFAULTS | base | conf).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import load
 from .canonical import map_to_list, not_listed
+from .details import find_details, redact
 from .leaks import find_leaks
 from .lookalikes import changed_rows, normalise_text
 from .mixing import mix, shares, source_sizes
@@ -35,6 +36,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labs.union(events).distinct()
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wordings and lines that hold personal details, with their types."""
+    parts = (("event_facts", "fact_id", "wording"), ("spans", "span_id", "text"))
+    events, spans = (find_details(load(spark, sf_dir, t), k, c).select(F.lit(t).alias("tab"), "row_id", "pii_type") for t, k, c in parts)
+    return events.union(spans).distinct()
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every wording with its details replaced by placeholders."""
+    return redact(load(spark, sf_dir, "event_facts").select("fact_id", "wording"), "wording").select("fact_id", "redacted")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans with page furniture, broken words and misread letters."""
     return scan_noise(load(spark, sf_dir, "spans"))
@@ -72,5 +85,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(load(spark, sf_dir, "documents")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_labels, p5_found, p7_found, p7_paragraphs, p8_found, p9_found, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_labels, p5_found, p6_found, p6_redacted, p7_found, p7_paragraphs, p8_found, p9_found, p9_mix, p9_shares, p10_found)}
 SQL: dict[str, str] = {}

@@ -79,7 +79,7 @@ def tokens(text: Column) -> Column:
 
 def contains_token(text: Column, needle: Column) -> Column:
     """Whether ``needle`` stands in ``text`` as a token of its own."""
-    return text.rlike(F.concat(F.lit(r"(?U)(?<![\w.])\Q"), needle, F.lit(r"\E(?!\w|\.\d)")))
+    return F.rlike(text, F.concat(F.lit(r"(?U)(?<![\w.])\Q"), needle, F.lit(r"\E(?!\w|\.\d)")))
 
 
 def stem(word: Column) -> Column:

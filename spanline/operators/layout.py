@@ -10,6 +10,11 @@ from ..functions import text as T
 PAGE = ["content_hash", "unit_number"]
 
 
+def position(df: DataFrame, at: str) -> Column:
+    """A column on a number line: timestamps in microseconds, numbers as they are."""
+    return F.unix_micros(F.col(at).cast("timestamp")) if dict(df.dtypes)[at].startswith("timestamp") else F.col(at)
+
+
 def cluster_rows(spans: DataFrame) -> DataFrame:
     """Visual rows of every page: ``row, y, height, text, members``.
 
@@ -84,25 +89,26 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, value:
     """For each left row the right value whose ``at`` is nearest, ties to the
     earlier one. Two windows over the union of both sides find the neighbours
     before and after, so no pairs are formed."""
-    a = left.select(*keys, at, F.lit(None).cast("struct<at:%s,v:%s>" % (dict(right.dtypes)[at], dict(right.dtypes)[value])).alias("_r"), F.struct(*left.columns).alias("_l"))
-    b = right.select(*keys, at, F.struct(F.col(at).alias("at"), F.col(value).alias("v")).alias("_r"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"))
-    both = a.unionByName(b)
+    right = right.withColumn("_at", position(right, at))
+    b = right.select(*keys, "_at", F.struct(F.col("_at").alias("at"), F.col(value).alias("v")).alias("_r"))
+    a = left.withColumn("_at", position(left, at)).select(*keys, "_at", F.lit(None).cast(b.schema["_r"].dataType).alias("_r"), F.struct(*left.columns).alias("_l"))
+    both = a.unionByName(b.withColumn("_l", F.lit(None).cast(a.schema["_l"].dataType)))
     w = Window.partitionBy(*keys)
-    both = both.withColumn("_p", F.last("_r", ignorenulls=True).over(w.orderBy(F.col(at), F.col("_l").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_n", F.last("_r", ignorenulls=True).over(w.orderBy(F.col(at).desc(), F.col("_l").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)))
+    both = both.withColumn("_p", F.last("_r", ignorenulls=True).over(w.orderBy(F.col("_at"), F.col("_l").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)))
+    both = both.withColumn("_n", F.last("_r", ignorenulls=True).over(w.orderBy(F.col("_at").desc(), F.col("_l").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)))
 
     def span(c: Column) -> Column:
-        return F.abs(c.cast("double") - F.col(at).cast("double"))
+        return F.abs(c - F.col("_at"))
 
     later = F.col("_p").isNull() | (F.col("_n").isNotNull() & (span(F.col("_n.at")) < span(F.col("_p.at"))))
     return both.where(F.col("_l").isNotNull()).select("_l.*", F.when(later, F.col("_n.v")).otherwise(F.col("_p.v")).alias(f"nearest_{value}"))
 
 
-def band_counts(df: DataFrame, keys: list[str], at: str, width: float) -> DataFrame:
-    """How many other rows of the same keys lie within ``width`` seconds before
-    and after: a range window instead of a band self-join, so no pairs form."""
-    seconds = F.col(at).cast("double")
-    w = Window.partitionBy(*keys).orderBy(seconds).rangeBetween(-width, width)
+def band_counts(df: DataFrame, keys: list[str], at: str, width: int) -> DataFrame:
+    """How many other rows of the same keys lie within ``width`` (microseconds for
+    timestamps) before and after: a range window instead of a band self-join, so
+    no pairs form."""
+    w = Window.partitionBy(*keys).orderBy(position(df, at)).rangeBetween(-width, width)
     return df.withColumn("near", F.count(F.lit(1)).over(w) - 1)
 
 

@@ -16,7 +16,7 @@ from ..session import load
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-WINDOW = D.DateRange(date(2018, 1, 1), date(2019, 6, 30))
+WINDOW = D.DateRange(date(2016, 3, 1), date(2021, 6, 30))
 BEFORE, AFTER = "gen-0001", "gen-0002"
 
 
@@ -228,9 +228,9 @@ def cache_misses(spark, sf):
 
 
 PLACED = """
-WITH p AS (SELECT *, coalesce(len(alternatives), 0) AS n, len(list_filter(alternatives, lambda a: a.start_date <= DATE '2019-06-30' AND a.end_date >= DATE '2018-01-01')) > 0 AS hit FROM lab_facts),
+WITH p AS (SELECT *, coalesce(len(alternatives), 0) AS n, len(list_filter(alternatives, lambda a: a.start_date <= DATE '2021-06-30' AND a.end_date >= DATE '2016-03-01')) > 0 AS hit FROM lab_facts),
 c AS (SELECT *, CASE WHEN n = 0 THEN 'undated' WHEN n > 1 THEN CASE WHEN hit THEN 'date uncertain' ELSE 'out of range' END WHEN NOT hit THEN 'out of range'
- WHEN alternatives[1].start_date >= DATE '2018-01-01' AND alternatives[1].end_date <= DATE '2019-06-30' THEN 'in range' ELSE 'may fall in range' END AS placement FROM p)"""
+ WHEN alternatives[1].start_date >= DATE '2016-03-01' AND alternatives[1].end_date <= DATE '2021-06-30' THEN 'in range' ELSE 'may fall in range' END AS placement FROM p)"""
 
 
 @query(PLACED + " SELECT fact_id, placement FROM c")
@@ -374,7 +374,9 @@ def gap_islands(spark, sf):
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = load(spark, sf, "events").withColumn("gap", (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 1e6)
+    e = load(spark, sf, "events")
+    at = layout.position(e, "ts")
+    e = e.withColumn("gap", (at - F.lag(at).over(w)) / 1e6)
     rows = X.islands(e, ["user_id"], ["ts", "event_id"], "gap", 3600)
     return rows.groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
 
@@ -404,7 +406,7 @@ def latest_header(spark, sf):
 SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND INTERVAL 60 SECONDS FOLLOWING) - 1 AS near FROM events""")
 def band_neighbours(spark, sf):
     """Rows within a band around each row."""
-    return layout.band_counts(load(spark, sf, "events"), ["user_id"], "ts", 60.0).select("event_id", "near")
+    return layout.band_counts(load(spark, sf, "events"), ["user_id"], "ts", 60_000_000).select("event_id", "near")
 
 
 @query("""
@@ -507,7 +509,7 @@ def excluded_undated(spark, sf):
 @query()
 def history_labs(spark, sf):
     """The whole answer for a measurement, with inflected and look-alike labels."""
-    r = history.run_query(load(spark, sf, "lab_facts"), "raw_label", load(spark, sf, "spans"), load(spark, sf, "concept_terms"), "analyte", "glucose", "2018", "2019-06")
+    r = history.run_query(load(spark, sf, "lab_facts"), "raw_label", load(spark, sf, "spans"), load(spark, sf, "concept_terms"), "analyte", "glucose", "2016-03", "2021-06")
     return r.rows.select("section", "date_text", "raw_label", "raw_value", "unit", "fact_id")
 
 

@@ -155,7 +155,7 @@ def normalise_units(facts: DataFrame, concepts: DataFrame, terms: DataFrame, inf
 
     Defined results: facts without a listed analyte are left out; no readable
     number gives null ``value_common`` and ``number_changes`` false; unreadable
-    units count as absent; null source ids form one source; undated facts come
+    units count as absent; facts without fact_id are left out; null source ids form one source; undated facts come
     first in their series; repeated fact ids give repeated rows; an empty input
     gives an empty result; further columns of the input are ignored.
 
@@ -169,7 +169,7 @@ def normalise_units(facts: DataFrame, concepts: DataFrame, terms: DataFrame, inf
     exact = F.coalesce(certain & (first["date_precision"] == "day"), F.lit(False)).alias("exact_day")
     # A repeated delivery equals its original in all but fact_id and loaded_at.
     delivery = F.xxhash64(*[F.col(f.name) for f in facts.schema if f.name in DELIVERED]).alias("delivery")
-    slim = facts.select("fact_id", "source_id", "raw_label", "raw_value", F.col("value_number").cast("double").alias("number"), "unit", "reference_interval", day, exact, delivery)
+    slim = facts.where(F.col("fact_id").isNotNull()).select("fact_id", "source_id", "raw_label", "raw_value", F.col("value_number").cast("double").alias("number"), "unit", "reference_interval", day, exact, delivery)
     named = resolve_labels(slim, "raw_label", terms, "analyte").where(F.col("concept_id").isNotNull())
     read = written(_read(named, concepts), "units-read")
     log_middle = (F.log(F.when(F.col("low") > 0, F.col("low"))) + F.log(F.when(F.col("high") > 0, F.col("high")))) / 2 + F.log(F.coalesce("interval_stated", "stated"))

@@ -12,45 +12,58 @@ from pyspark.sql import functions as F
 from ..session import spread
 
 
-def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[dict], dict], schema: str) -> DataFrame:
     """Calls ``fn`` once for every group of rows equal in ``keys``, sorted by ``order``.
 
-    One shuffle and one sort that spills; Python then sees the groups in turn, so
-    a worker holds one Arrow batch and the group at its end, never a partition.
-    Callers bound the groups' sizes (see ``chunked``).
+    ``fn`` takes and gives columns as numpy arrays. One shuffle and one sort that
+    spills; Python then sees the groups in turn, so a worker holds one Arrow
+    batch and the group at its end, never a partition. Callers bound the
+    groups' sizes (see ``chunked``).
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    def groups(frames: Iterator[pd.DataFrame]) -> Iterator[dict]:
+        held: list[dict] = []
         last = None
         for frame in frames:
             if not len(frame):
                 continue
-            codes = frame[keys].astype("string").fillna("\0").agg("\1".join, axis=1) if len(keys) > 1 else frame[keys[0]].astype("string").fillna("\0")
-            values = codes.to_numpy()
-            cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1), len(values)]
+            cols = {c: frame[c].to_numpy() for c in frame.columns}
+            codes = [["\0" if x is None or x != x else x for x in cols[k]] for k in keys]
+            change = np.zeros(len(frame), dtype=bool)
+            for k in codes:
+                values = np.array(k, dtype=object)
+                change[1:] |= values[1:] != values[:-1]
+            cuts = [0, *np.flatnonzero(change), len(frame)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if last is not None and values[a] != last:
-                    yield fn(pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True))
+                key = tuple(k[a] for k in codes)
+                if held and key != last:
+                    yield _joined(held)
                     held = []
-                held.append(frame.iloc[a:b])
-                last = values[a]
+                held.append({c: v[a:b] for c, v in cols.items()})
+                last = key
         if held:
-            yield fn(pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True))
+            yield _joined(held)
 
-    def batched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[pd.DataFrame] = []
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[dict] = []
         size = 0
-        for frame in run(frames):
-            out.append(frame)
-            size += len(frame)
-            if size >= 4096:
-                yield pd.concat(out, ignore_index=True)
+        for group in groups(frames):
+            made = fn(group)
+            n = len(next(iter(made.values())))
+            if n:
+                out.append(made)
+                size += n
+            if size >= 8192:
+                yield pd.DataFrame(_joined(out))
                 out, size = [], 0
         if out:
-            yield pd.concat(out, ignore_index=True)
+            yield pd.DataFrame(_joined(out))
+
+    return spread(df, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
 
-    return spread(df, *keys).sortWithinPartitions(*keys, *order).mapInPandas(batched, schema)
+def _joined(parts: list[dict]) -> dict:
+    return parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
 
 
 def chunked(df: DataFrame, keys: list[str], day: str, size: int, halo: int = 0) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,8 @@ def spikes(series: np.ndarray, spread: float) -> np.ndarray:
     so that neither their echoes nor neighbours hide or fake one."""
     y, marks = series.copy(), np.zeros(len(series), dtype=bool)
     far = max(RANGE_LIMIT * spread, RANGE_LEAST)
+    if not (np.abs(y) > far).any():
+        return marks
     for _ in range(len(y)):
         bands = details(y) or [y - np.median(y)]
         score = np.zeros(len(y))
@@ -64,34 +67,30 @@ def zero_runs(values: np.ndarray, least: int) -> np.ndarray:
     if len(values) < least:
         return marks
     same = np.abs(np.diff(values)) <= 1e-9 * np.abs(values[1:])
-    start = 0
-    for i in range(1, len(values) + 1):
-        if i == len(values) or not same[i - 1]:
-            if i - start >= least:
-                marks[start:i] = True
-            start = i
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(int), [0]])))
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        if b - a + 1 >= least:
+            marks[a : b + 1] = True
     return marks
 
 
-def _mark(frame: pd.DataFrame) -> pd.DataFrame:
-    value = frame["value_common"].to_numpy(float)
-    bound = frame["analyte_level"].to_numpy(float)
+def _mark(rows: dict) -> dict:
+    value, bound = rows["value_common"].astype(float), rows["analyte_level"].astype(float)
     with np.errstate(divide="ignore", invalid="ignore"):
         logs = np.log(value)
-    apart = np.abs(logs - bound)
-    impossible = (value <= 0) | (apart > np.log(IMPOSSIBLE_RATIO))
-    x = logs - frame["level"].to_numpy(float)
+    impossible = (value <= 0) | (np.abs(logs - bound) > np.log(IMPOSSIBLE_RATIO))
+    x = logs - rows["level"].astype(float)
     usable = np.isfinite(x)
-    spike = np.zeros(len(frame), dtype=bool)
+    spike = np.zeros(len(value), dtype=bool)
     if usable.any():
-        spread = float(frame["spread"].iloc[0]) if frame["spread"].notna().any() else 0.0
-        spike[usable] = spikes(x[usable], max(1.4826 * spread, 0.01))
-    dated = frame["exact_day"].to_numpy(bool)
-    stuck = np.zeros(len(frame), dtype=bool)
+        spread = float(rows["spread"].astype(float)[0])
+        spike[usable] = spikes(x[usable], max(0.0 if math.isnan(spread) else 1.4826 * spread, 0.01))
+    dated = rows["exact_day"].astype(bool)
+    stuck = np.zeros(len(value), dtype=bool)
     stuck[dated] = zero_runs(value[dated], STUCK)
-    out = frame[["source_id", "concept_id", "delivery", "day"]].copy()
-    out["spike"], out["stuck"], out["impossible"] = spike, stuck, impossible
-    return out[frame["own"].to_numpy(bool) & (spike | stuck | impossible)]
+    kept = rows["own"].astype(bool) & (spike | stuck | impossible)
+    out = {c: rows[c][kept] for c in ("source_id", "concept_id", "delivery", "day")}
+    return out | {"spike": spike[kept], "stuck": stuck[kept], "impossible": impossible[kept]}
 
 
 MARKED = "source_id string, concept_id string, delivery long, day date, spike boolean, stuck boolean, impossible boolean"

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import MOST_TERMS, resolve_labels
-from ..functions.units import changes, factor, read_interval, read_unit, read_value
+from ..functions.units import factor, read_interval, read_unit, read_value
 from ..session import written
 from .grouped import chunked, map_groups
 
@@ -98,42 +98,50 @@ def smooth_level(known: np.ndarray, start: float, weight: float = 0.1) -> np.nda
     return (run(known) + run(known[::-1])[::-1]) / 2
 
 
-def decode(frame: pd.DataFrame, infer_bare: bool) -> pd.DataFrame:
+def decode(rows: dict, infer_bare: bool = False) -> dict:
     """Viterbi over the unit states of one source's and analyte's series."""
-    states = np.array(sorted({0.0, *(frame["factors"].iloc[0] if frame["factors"].iloc[0] is not None else [])}))
-    stated, value = frame["stated"].to_numpy(float), frame["value"].to_numpy(float)
+    factors = rows["factors"][0]
+    states = np.array(sorted({0.0, *(factors if factors is not None else ())}))
+    stated, value, of_interval = (rows[c].astype(float) for c in ("stated", "value", "interval_stated"))
+    low, high = rows["low"].astype(float), rows["high"].astype(float)
     with np.errstate(divide="ignore", invalid="ignore"):
-        middle = (np.log(frame["low"].to_numpy(float)) + np.log(frame["high"].to_numpy(float))) / 2
-        middle[~np.isfinite(middle)] = np.nan
-        log_value = np.log(value)
-        log_value[~np.isfinite(log_value)] = np.nan
-        own = np.log(stated)
-    interval_own = np.where(np.isnan(frame["interval_stated"].to_numpy(float)), own, np.log(frame["interval_stated"].to_numpy(float)))
-    start = float(frame["level"].iloc[0]) if frame["level"].notna().any() else 0.0
-    level = smooth_level(middle + interval_own, start)
-    n, k = len(frame), len(states)
-    emit = np.zeros((n, k))
-    for i in range(n):
-        if not math.isnan(own[i]):
-            emit[i] = np.where(np.abs(states - own[i]) < 1e-6, 0.0, FAR)
-        elif not math.isnan(middle[i]) and not math.isnan(start):
-            emit[i] = np.maximum(-((middle[i] + states - level[i]) ** 2) / (2 * SPREAD_INTERVAL**2), FAR)
-            if not math.isnan(log_value[i]):
-                emit[i] += np.maximum(-((log_value[i] + states - level[i]) ** 2) / (2 * SPREAD_VALUE**2), -3.0)
-        elif infer_bare and not math.isnan(log_value[i]):
-            emit[i] = np.maximum(-((log_value[i] + states - level[i]) ** 2) / (2 * SPREAD_VALUE**2), -8.0)
-        else:
-            emit[i] = np.where(states == 0.0, 0.0, FAR)
-    path = states[viterbi(emit)]
-    decoded = np.where(np.isnan(own), path, own)
+        middle = (np.log(low) + np.log(high)) / 2
+        log_value, own = np.log(value), np.log(stated)
+        interval_own = np.where(np.isnan(of_interval), own, np.log(of_interval))
+    middle[~np.isfinite(middle)] = np.nan
+    log_value[~np.isfinite(log_value)] = np.nan
+    decoded = own.copy()
+    unstated = np.isnan(own)
+    if unstated.any():
+        levels = rows["level"].astype(float)
+        start = float(levels[0]) if not math.isnan(levels[0]) else 0.0
+        level = smooth_level(middle + interval_own, start)
+        by_value = (log_value[:, None] + states - level[:, None]) ** 2 / (2 * SPREAD_VALUE**2)
+        by_middle = (middle[:, None] + states - level[:, None]) ** 2 / (2 * SPREAD_INTERVAL**2)
+        common = np.where(states == 0.0, 0.0, FAR)[None, :]
+        emit = np.where(np.abs(states - own[:, None]) < 1e-6, 0.0, FAR)
+        scaled = np.maximum(-by_middle, FAR) + np.where(np.isnan(by_value), 0.0, np.maximum(-by_value, -3.0))
+        bare = np.where(np.isnan(by_value), common, np.maximum(-by_value, -8.0)) if infer_bare else np.broadcast_to(common, emit.shape)
+        emit = np.where(unstated[:, None], np.where(np.isnan(middle)[:, None], bare, scaled), emit)
+        # A stated row has one state only, so the path falls into parts between
+        # stated rows; each part is decoded with the stated row on either side.
+        near = unstated.copy()
+        near[1:] |= unstated[:-1]
+        near[:-1] |= unstated[1:]
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], near.astype(int), [0]])))
+        for a, b in zip(edges[::2], edges[1::2], strict=True):
+            path = states[viterbi(emit[a:b])]
+            decoded[a:b] = np.where(unstated[a:b], path, own[a:b])
     scale = np.exp(decoded)
-    apart = np.where(np.isnan(frame["interval_stated"].to_numpy(float)), scale, frame["interval_stated"].to_numpy(float))
-    basis = [b if b is not None and b == b else ("scale" if not math.isnan(m) else "values" if infer_bare else "common") for b, m in zip(frame["basis"], middle, strict=True)]
-    out = frame[["fact_id", "source_id", "concept_id", "day", "exact_day", "delivery"]].copy()
-    out["value_common"], out["low_common"], out["high_common"] = value * scale, frame["low"] * apart, frame["high"] * apart
-    out["unit_factor"], out["unit_basis"] = scale, basis
-    out["number_changes"] = [not math.isnan(v) and changes(s) for v, s in zip(value, scale, strict=True)]
-    return out
+    apart = np.where(np.isnan(of_interval), scale, of_interval)
+    basis = rows["basis"].astype(object)
+    blank = np.array([x is None or x != x for x in basis], dtype=bool)
+    basis = np.where(blank, np.where(np.isnan(middle), "values" if infer_bare else "common", "scale"), basis)
+    out = {c: rows[c] for c in ("fact_id", "source_id", "concept_id", "day", "exact_day", "delivery")}
+    return out | {
+        "value_common": value * scale, "low_common": low * apart, "high_common": high * apart, "unit_factor": scale, "unit_basis": basis,
+        "number_changes": ~np.isnan(value) & (np.abs(decoded) > 1e-6),
+    }
 
 
 OUT = (

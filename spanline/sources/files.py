@@ -85,7 +85,7 @@ def parse_claims(pages: DataFrame, column: str) -> DataFrame:
     whatever exceeds the contract's bounds are dropped and counted; a page that
     does not parse is ``invalid``."""
     c = F.from_json(F.col(column), CLAIMS, {"mode": "PERMISSIVE"})
-    df = pages.withColumn("_c", c).withColumn("invalid", F.col("_c").isNull() | F.coalesce(F.col("_c.lab_rows"), F.col("_c.events")).isNull())
+    df = pages.withColumn("_c", c).withColumn("invalid", F.col("_c").isNull() | (F.col("_c.lab_rows").isNull() & F.col("_c.events").isNull()))
 
     def cut(x):
         return F.substring(F.trim(x), 1, LONGEST)

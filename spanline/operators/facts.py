@@ -82,14 +82,17 @@ def units_histogram(facts: DataFrame) -> DataFrame:
     return facts.where(F.col("unit").isNotNull()).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
 
 
-def top_warnings(warnings: DataFrame, most: int = 30) -> DataFrame:
+def top_warnings(warnings: DataFrame, order: list[str], most: int = 30) -> DataFrame:
     """The first ``most`` lines, priority lines first, and a line for the rest.
 
-    The rank is a top-k per executor and only the rest's count is kept."""
-    order = [F.col("priority").desc(), F.col("seq")]
-    top = warnings.orderBy(*order).limit(most)
-    rest = warnings.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(F.lit(most).cast("long").alias("seq"), F.lit(False).alias("priority"), F.format_string("… and %d more coverage warnings elsewhere in the collection", F.col("n") - most).alias("line"))
-    return top.select("seq", "priority", "line").unionByName(rest)
+    Each task keeps its first lines only; positions are given to what is left,
+    and of the rest only the count is kept."""
+    top = warnings.orderBy(F.col("priority").desc(), *order).limit(most)
+    # A window over at most ``most`` rows.
+    seq = F.row_number().over(Window.orderBy(F.col("priority").desc(), *order)).cast("long")
+    rest = warnings.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    rest = rest.select(F.lit(most + 1).cast("long").alias("seq"), F.lit(False).alias("priority"), F.format_string("… and %d more coverage warnings elsewhere in the collection", F.col("n") - most).alias("line"))
+    return top.select(seq.alias("seq"), "priority", "line").unionByName(rest)
 
 
 def availability(checks: DataFrame, results: DataFrame, contents: DataFrame) -> DataFrame:

@@ -410,18 +410,14 @@ def band_neighbours(spark, sf):
 
 
 @query("""
-WITH w AS (SELECT row_number() OVER (ORDER BY relative_path, generation_id) AS seq, status = 'failed' AS priority, relative_path || ': ' || status AS line FROM inventory WHERE status <> 'ready'),
-t AS (SELECT * FROM w ORDER BY priority DESC, seq LIMIT 30)
-SELECT * FROM t UNION ALL SELECT 30, false, '… and ' || (n - 30) || ' more coverage warnings elsewhere in the collection' FROM (SELECT count(*) AS n FROM w) WHERE n > 30""")
+WITH w AS (SELECT relative_path, generation_id, status = 'failed' AS priority, relative_path || ': ' || status AS line FROM inventory WHERE status <> 'ready'),
+t AS (SELECT row_number() OVER (ORDER BY priority DESC, relative_path, generation_id) AS seq, priority, line FROM w)
+SELECT * FROM t WHERE seq <= 30 UNION ALL SELECT 31, false, '… and ' || (n - 30) || ' more coverage warnings elsewhere in the collection' FROM (SELECT count(*) AS n FROM w) WHERE n > 30""")
 def top_warnings(spark, sf):
     """Warnings by priority, thirty and the rest counted: a top-k report."""
-    from pyspark.sql import Window
-
     rows = load(spark, sf, "inventory").where("status <> 'ready'")
-    # Positions over problem files only, which the report lists; not over the inventory.
-    seq = F.row_number().over(Window.orderBy("relative_path", "generation_id")).cast("long")
-    rows = rows.select(seq.alias("seq"), (F.col("status") == "failed").alias("priority"), F.concat_ws(": ", "relative_path", "status").alias("line"))
-    return X.top_warnings(rows)
+    rows = rows.select("relative_path", "generation_id", (F.col("status") == "failed").alias("priority"), F.concat_ws(": ", "relative_path", "status").alias("line"))
+    return X.top_warnings(rows, ["relative_path", "generation_id"])
 
 
 @query("""

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
+import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import EngineError
+
 #: Settings every engine session wants; a cluster's own values win where set.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,19 +40,36 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """A temporary folder of this process, for local sessions only."""
+    folder = tempfile.mkdtemp(prefix="spanline-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return "file:" + folder
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir`` when the session
-    names one, else (tests only) a folder below the warehouse."""
+    """The folder all executors see: ``spark.checkpoint.dir``. A local session may
+    leave it unset and gets a temporary folder; a cluster may not."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/../spanline-shared"
-        named = "file:" + os.path.abspath(named.removeprefix("file:"))
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise EngineError("NO_SHARED_FOLDER")
+    return _own_folder()
 
 
 def run_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder in the shared folder, for one run of one operator."""
-    return f"{shared_folder(spark)}/spanline/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/spanline/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what this application wrote to the shared folder, once its results
+    are stored; results that still read it cannot be computed again afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/spanline/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

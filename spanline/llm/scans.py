@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,9 +58,16 @@ def skeleton(word: Column) -> Column:
     return F.translate(word, "".join(CLASSES), "".join(CLASSES.values()))
 
 
+#: Letters of the four languages that may stand as a letter and a combining mark.
+COMPOSED = tuple((unicodedata.normalize("NFD", c), c) for c in "йїёäöü")
+
+
 def clean(text: Column) -> Column:
-    """Lower case without invisible characters."""
-    return F.lower(F.regexp_replace(text, "[\\u00AD\\u200B-\\u200D\\u2060\\uFEFF]", ""))
+    """Lower case without invisible characters, letters in one piece."""
+    text = F.lower(F.regexp_replace(text, "[\\u00AD\\u200B-\\u200D\\u2060\\uFEFF]", ""))
+    for apart, one in COMPOSED:
+        text = F.replace(text, F.lit(apart), F.lit(one))
+    return text
 
 
 def small_side(df: DataFrame) -> DataFrame:
@@ -67,14 +76,26 @@ def small_side(df: DataFrame) -> DataFrame:
 
 
 def word_counts(lines: DataFrame) -> DataFrame:
-    """Forms of words inside lines: ``form, n, n_clean`` (not from the scanner).
+    """Forms of words: ``form, n, n_clean`` (not from the scanner) inside lines,
+    and ``n_all, n_all_clean`` anywhere.
 
-    First and last words of lines are left out, as they may be parts of words.
+    First and last words of lines are left out of the former, as they may be
+    parts of words.
     """
     words = F.regexp_extract_all(clean(F.col("text")), F.lit(WORD), F.lit(0))
-    inner = F.when(F.size(words) > 2, F.slice(words, 2, F.size(words) - 2)).otherwise(F.array().cast("array<string>"))
-    tokens = lines.select(F.explode(inner).alias("form"), (F.col("reader") != SCANNER).cast("long").alias("c"))
-    return tokens.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("n_clean"))
+    placed = lines.select(words.alias("w"), (F.col("reader") != SCANNER).cast("long").alias("c"))
+    placed = placed.select("c", F.explode(F.transform("w", lambda w, i: F.struct(w.alias("form"), ((i > 0) & (i < F.size("w") - 1)).cast("long").alias("inner")))).alias("t"))
+    tokens = placed.select("t.form", F.col("t.inner").alias("i"), "c")
+    return tokens.groupBy("form").agg(F.sum("i").alias("n"), F.sum(F.col("i") * F.col("c")).alias("n_clean"), F.count(F.lit(1)).alias("n_all"), F.sum("c").alias("n_all_clean"))
+
+
+def whole_counts(counts: DataFrame, broken: DataFrame) -> DataFrame:
+    """``counts`` with the parts of broken words taken out of words anywhere."""
+    parts = broken.select(F.explode(F.array(F.struct(F.col("a").alias("form"), "c"), F.struct(F.col("b").alias("form"), F.col("next_c").alias("c")))).alias("p"))
+    parts = parts.groupBy(F.col("p.form").alias("form")).agg(F.count(F.lit(1)).alias("_n"), F.sum("p.c").alias("_c"))
+    left = counts.join(parts, "form", "left")
+    fewer = {c: F.greatest(F.col(inner), F.col(c) - F.coalesce(part, F.lit(0))) for c, inner, part in (("n_all", "n", "_n"), ("n_all_clean", "n_clean", "_c"))}
+    return left.withColumns(fewer).drop("_n", "_c").where(F.col("n_all") > 0)
 
 
 def derivable(true: str, read: str) -> bool:
@@ -101,13 +122,14 @@ def misread_forms(counts: DataFrame, lines: DataFrame) -> DataFrame:
     Forms are grouped by skeleton (a group holds the readings of one word);
     frequent forms the rare one can be a misreading of are its candidates, and
     the one whose neighbours in the text also stand beside the rare form wins,
-    then the most frequent.
+    then the most frequent. A rare form may stand anywhere, a frequent one must
+    be frequent inside lines.
     """
     keyed = counts.withColumn("skeleton", skeleton(F.col("form")))
     true = keyed.where((F.col("n") >= LEAST) & F.col("form").rlike("^[\\p{L}\\p{N}]*\\p{L}[\\p{L}\\p{N}]*$") & ~F.col("form").rlike("[\\p{L}]\\p{N}|\\p{N}[\\p{L}]"))
-    true = true.select("skeleton", F.col("form").alias("meant"), F.col("n").alias("n_meant"), F.col("n_clean").alias("clean_meant"))
-    pairs = keyed.join(true, "skeleton").where((F.col("form") != F.col("meant")) & (F.col("n_meant") >= RATIO * F.col("n")) & (F.col("clean_meant") > 0) & (F.col("n_clean") * 100 <= F.col("n")))
-    rows = pairs.select("form", "meant", "n", "n_meant").where(F.col("form").rlike("\\p{L}") | (F.length("form") > 2))
+    true = true.select("skeleton", F.col("form").alias("meant"), F.col("n_all").alias("n_meant"), F.col("n_clean").alias("clean_meant"))
+    pairs = keyed.join(true, "skeleton").where((F.col("form") != F.col("meant")) & (F.col("n_meant") >= RATIO * F.col("n_all")) & (F.col("clean_meant") > 0) & (F.col("n_all_clean") * 100 <= F.col("n_all")))
+    rows = pairs.select("form", "meant", F.col("n_all").alias("n"), "n_meant").where(F.col("form").rlike("\\p{L}") | (F.length("form") > 2))
     can = F.udf(derivable, "boolean")
     rows = written(rows.where(can("meant", "form")), "scan-pairs")
     wanted = rows.select("form").union(rows.select("meant")).distinct()
@@ -194,22 +216,24 @@ def furniture(lines: DataFrame) -> DataFrame:
 
 
 def next_lines(text_lines: DataFrame) -> DataFrame:
-    """Every line with ``next_text``, the line of text that follows it in its
-    content, on this page or a later one; ``text_lines`` holds no furniture.
+    """Every line with ``next_text`` and ``next_reader``, of the line of text that
+    follows it in its content, on this page or a later one; ``text_lines`` holds
+    no furniture.
 
     Within a page a window finds it; from page to page two levels of windows do,
     over one row per page and one per block of pages, so a binder holding a
     third of all rows is no single window.
     """
     page = Window.partitionBy("content_hash", "unit_number").orderBy("span_index", "span_id")
-    lines = text_lines.withColumn("_next", F.lead("text").over(page))
-    pages = text_lines.groupBy("content_hash", "unit_number").agg(F.min_by("text", F.struct("span_index", "span_id")).alias("_text"))
+    lines = text_lines.withColumn("_next", F.lead(F.struct("text", "reader")).over(page))
+    pages = text_lines.groupBy("content_hash", "unit_number").agg(F.min_by(F.struct("text", "reader"), F.struct("span_index", "span_id")).alias("_text"))
     pages = pages.withColumn("_block", F.floor(F.col("unit_number") / BLOCK)).withColumn("_later", F.lead("_text").over(Window.partitionBy("content_hash", "_block").orderBy("unit_number")))
     blocks = pages.groupBy("content_hash", "_block").agg(F.min_by("_text", "unit_number").alias("_b"))
     blocks = blocks.withColumn("_after", F.lead("_b").over(Window.partitionBy("content_hash").orderBy("_block"))).select("content_hash", "_block", "_after")
     pages = pages.join(blocks, ["content_hash", "_block"]).select(F.col("content_hash").alias("_h"), F.col("unit_number").alias("_u"), F.coalesce("_later", "_after").alias("_page"))
     lines = lines.join(pages, (F.col("content_hash") == F.col("_h")) & (F.col("unit_number") == F.col("_u")), "left")
-    return lines.withColumn("next_text", F.coalesce("_next", "_page")).drop("_next", "_page", "_h", "_u")
+    following = F.coalesce("_next", "_page")
+    return lines.withColumns({"next_text": following["text"], "next_reader": following["reader"]}).drop("_next", "_page", "_h", "_u")
 
 
 MARK = r"(\p{L})[-¬\x{AD}‐‑]$"
@@ -218,7 +242,8 @@ FIRST = r"^([\p{L}\p{N}]+)"
 
 
 def broken_words(text_lines: DataFrame, counts: DataFrame) -> DataFrame:
-    """``span_id, marked, whole``: lines whose last word goes on in the next line.
+    """``span_id, a, b, c, next_c``: lines whose last word goes on in the next
+    line, its two parts and whether each is not from the scanner (1 or 0).
 
     A mark after a letter before a line that goes on in lower case is enough.
     Without one, the two parts joined must be a frequent word (by skeleton, so
@@ -227,9 +252,10 @@ def broken_words(text_lines: DataFrame, counts: DataFrame) -> DataFrame:
     lines = next_lines(text_lines)
     trimmed = F.rtrim(F.regexp_replace(F.col("text"), "[\\u200B-\\u200D\\u2060\\uFEFF]", ""))
     start = F.ltrim(F.col("next_text"))
-    lines = lines.select("span_id", trimmed.alias("_t"), start.alias("_s")).where(F.col("_s").rlike(r"^[\p{Ll}0-9]") & F.col("_t").rlike(rf"{LAST}"))
+    not_scanned = [(F.col(x) != SCANNER).cast("long").alias(c) for x, c in (("reader", "c"), ("next_reader", "next_c"))]
+    lines = lines.select("span_id", *not_scanned, trimmed.alias("_t"), start.alias("_s")).where(F.col("_s").rlike(r"^[\p{Ll}0-9]") & F.col("_t").rlike(rf"{LAST}"))
     marked = F.col("_t").rlike(MARK)
-    lines = lines.select("span_id", marked.alias("marked"), F.lower(F.regexp_extract("_t", LAST, 1)).alias("a"), F.lower(F.regexp_extract("_s", FIRST, 1)).alias("b"), F.col("_s").rlike(r"^\p{N}*\p{Ll}").alias("goes_on"))
+    lines = lines.select("span_id", "c", "next_c", marked.alias("marked"), F.lower(F.regexp_extract("_t", LAST, 1)).alias("a"), F.lower(F.regexp_extract("_s", FIRST, 1)).alias("b"), F.col("_s").rlike(r"^\p{N}*\p{Ll}").alias("goes_on"))
     lines = lines.where(F.col("goes_on") & (F.col("marked") | (F.col("a").rlike(r"\p{L}$") & ~F.col("a").rlike(r"^\p{N}"))))
     lines = written(lines, "scan-ends")
     table = counts.withColumn("k", skeleton(F.col("form"))).groupBy("k").agg(F.sum("n").alias("n"), F.max_by("form", F.struct("n", "form")).alias("form"))
@@ -239,9 +265,9 @@ def broken_words(text_lines: DataFrame, counts: DataFrame) -> DataFrame:
     parts = counts.select(F.col("form"), F.col("n"))
     known = known.join(parts.select(F.col("form").alias("a"), F.col("n").alias("n_a")), "a", "left").join(parts.select(F.col("form").alias("b"), F.col("n").alias("n_b")), "b", "left")
     rare = F.least(F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0))) * WHOLE_RATIO < F.col("n_whole")
-    known = known.where(rare).select("a", "b", "whole")
-    hits = lines.where(~F.col("marked")).join(known, ["a", "b"]).select("span_id", F.lit(False).alias("marked"), "whole")
-    return hits.unionByName(lines.where("marked").select("span_id", F.lit(True).alias("marked"), F.concat("a", "b").alias("whole")))
+    known = known.where(rare).select("a", "b").distinct()
+    out = ["span_id", "a", "b", "c", "next_c"]
+    return lines.where(~F.col("marked")).join(known, ["a", "b"]).select(*out).unionByName(lines.where("marked").select(*out))
 
 
 def _lines(spans: DataFrame) -> DataFrame:
@@ -260,15 +286,15 @@ def scan_noise(spans: DataFrame) -> DataFrame:
     """
     lines = _lines(spans)
     edge = written(furniture(lines), "scan-furniture")
+    text_lines = lines.join(small_side(edge), "span_id", "left_anti")
     counts = written(word_counts(lines), "scan-counts")
-    forms = small_side(written(misread_forms(counts, lines), "scan-forms"))
+    broken = written(broken_words(text_lines, counts), "scan-broken")
+    forms = small_side(written(misread_forms(whole_counts(counts, broken), lines), "scan-forms"))
     words = F.explode(F.array_distinct(F.regexp_extract_all(clean(F.col("text")), F.lit(WORD), F.lit(0))))
     odd = r"(?<![\p{L}\p{N}@._-])\p{L}{2,}[0135]\p{Ll}{2,}(?![\p{L}\p{N}@_])|(?<![\p{L}\p{N}@._-])\p{Lu}\p{Ll}+[0135]\p{Ll}+(?![\p{L}\p{N}@_])"
     scanned = lines.where(F.col("reader") == SCANNER)
     misread = scanned.select("span_id", words.alias("form")).join(forms.select("form"), "form").select("span_id")
     misread = misread.union(scanned.where(F.col("text").rlike(odd)).select("span_id"))
-    text_lines = lines.join(small_side(edge), "span_id", "left_anti")
-    broken = broken_words(text_lines, counts).select("span_id")
     kinds = {"furniture": edge, "misread": misread, "broken_word": broken}
     out = None
     for kind, df in kinds.items():
@@ -292,10 +318,11 @@ def paragraphs(spans: DataFrame) -> DataFrame:
     """
     lines = _lines(spans)
     edge = written(furniture(lines), "scan-furniture")
-    counts = written(word_counts(lines), "scan-counts")
-    forms = small_side(written(misread_forms(counts, lines), "scan-forms"))
     text_lines = lines.join(small_side(edge), "span_id", "left_anti")
-    broken = broken_words(text_lines, counts).groupBy("span_id").agg(F.lit(True).alias("broken"))
+    counts = written(word_counts(lines), "scan-counts")
+    broken = written(broken_words(text_lines, counts), "scan-broken")
+    forms = small_side(written(misread_forms(whole_counts(counts, broken), lines), "scan-forms"))
+    broken = broken.groupBy("span_id").agg(F.lit(True).alias("broken"))
     x0 = spans.select("span_id", "x0").groupBy("span_id").agg(F.min("x0").alias("x0"))
     token = F.regexp_extract_all(F.col("text"), F.lit(rf"{WORD}|[^\p{{L}}\p{{N}}]+"), F.lit(0))
     scanned = lines.where(F.col("reader") == SCANNER).select("span_id", F.posexplode(token).alias("i", "tok"))

@@ -124,6 +124,19 @@ def test_scan_noise(spark):
     assert [text[i] for i, k in found if k == "misread"] == ["the paticnt came for a control of the wound again"]
 
 
+def test_misread_words_at_line_edges(spark):
+    lines = [(1, "patlent came for a control today", "tesseract"), (2, "vislt to the ward and then the control", "tesseract"), (3, "came again for a contro1", "tesseract"), (4, "vvard", "tesseract")]
+    rows = [(i, "c0", i, 0, t, 10.0, r) for i, t, r in lines]
+    rows += [(100 + i, "c1", i, 0, "so the patient came for a visit to the ward and then for a control today", 10.0, "pdf-text") for i in range(1, 80, 2)]
+    # a decomposed letter is no misreading
+    rows += [(300 + i, "c3", i, 0, "загальний", 10.0, "pdf-text") for i in range(1, 80, 2)] + [(400 + i, "c4", i, 0, "тест загальний тест", 10.0, "pdf-text") for i in range(1, 20, 2)] + [(500, "c0", 9, 0, "загальни\u0438\u0306", 10.0, "tesseract")]
+    # parts of a broken word are no forms, even where one looks like a misreading
+    rows += [(200, "c2", 1, 0, "came again for a con-", 10.0, "tesseract"), (201, "c2", 1, 1, "trol today and then the ward", 10.0, "tesseract")]
+    found = {(r.span_id, r.noise_kind) for r in scans.scan_noise(spark.createDataFrame(rows, SPANS)).collect()}
+    assert {i for i, k in found if k == "misread"} == {1, 2, 3, 4}
+    assert {i for i, k in found if k == "broken_word"} == {200}
+
+
 def test_paragraphs(spark):
     df = spark.createDataFrame(pages(), SPANS)
     texts = [r.text for r in scans.paragraphs(df).where("content_hash = 'c1'").collect()]

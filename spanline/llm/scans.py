@@ -305,6 +305,38 @@ def scan_noise(spans: DataFrame) -> DataFrame:
 
 
 
+def _starts(line: Column, before: Column) -> Column:
+    """1 where a line starts a paragraph after the line before it, else 0."""
+    same_edge = F.coalesce(F.abs(line["x0"] - before["x0"]) < 5, F.lit(True))
+    goes_on = F.coalesce(before["broken"], F.lit(False)) | (before["_is_text"] & line["_is_text"] & same_edge)
+    return F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)
+
+
+def paragraph_bases(pages: DataFrame) -> DataFrame:
+    """``_h, _u, _base``: per page the number, in its content, of the paragraph
+    its first line belongs to. ``pages`` holds first and last lines and the
+    starts ``_n`` among the other lines.
+
+    Both steps carry over in two levels: within blocks of pages, then over one
+    row per block.
+    """
+    block = Window.partitionBy("content_hash", "_block").orderBy("unit_number")
+    content = Window.partitionBy("content_hash").orderBy("_block")
+    pages = pages.withColumn("_block", F.floor(F.col("unit_number") / BLOCK))
+
+    def with_blocks(df: DataFrame, of: Column, over: Column) -> DataFrame:
+        blocks = df.groupBy("content_hash", "_block").agg(of.alias("_of")).select(F.col("content_hash").alias("_h"), F.col("_block").alias("_k"), over.alias("_ahead"))
+        return df.join(blocks, F.col("content_hash").eqNullSafe(F.col("_h")) & F.col("_block").eqNullSafe(F.col("_k"))).drop("_h", "_k")
+
+    ahead = with_blocks(pages, F.max_by("_last", F.struct("unit_number")), F.lag("_of").over(content))
+    before = F.coalesce(F.lag("_last").over(block), F.col("_ahead"))
+    starts = ahead.withColumn("_before", before).withColumn("_new", F.when(F.col("_before").isNull(), 1).otherwise(_starts(F.col("_first"), F.col("_before"))))
+    starts = written(starts.select("content_hash", "unit_number", "_block", "_n", "_new"), "scan-starts")
+    sums = with_blocks(starts, F.sum(F.col("_n") + F.col("_new")), F.sum("_of").over(content) - F.col("_of"))
+    base = F.col("_ahead") + F.sum(F.col("_n") + F.col("_new")).over(block.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    return sums.select(F.col("content_hash").alias("_h"), F.col("unit_number").alias("_u"), base.alias("_base"))
+
+
 def paragraphs(spans: DataFrame) -> DataFrame:
     """``content_hash, unit_number, paragraph, text``: running text, repaired.
 
@@ -313,8 +345,8 @@ def paragraphs(spans: DataFrame) -> DataFrame:
     of text follow at the same left edge; it may run over pages and is numbered
     within the page it starts on. Short lines that end no sentence (titles,
     dates, table cells) stand alone. Paragraph starts are found by windows
-    within blocks of pages, so no content is collected as a whole, and a
-    paragraph ends with its block of pages at the latest.
+    within pages, and from page to page by two levels of windows over one row
+    per page, so no content is collected as a whole, only each paragraph.
     """
     lines = _lines(spans)
     edge = written(furniture(lines), "scan-furniture")
@@ -330,16 +362,18 @@ def paragraphs(spans: DataFrame) -> DataFrame:
     shaped = F.when(F.col("meant").isNull(), F.col("tok")).when(F.col("tok") == F.upper("tok"), F.upper("meant")).when(F.substring("tok", 1, 1) == F.upper(F.substring("tok", 1, 1)), F.initcap("meant")).otherwise(F.col("meant"))
     fixed = fixed.groupBy("span_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", shaped.alias("t")))), lambda s: s["t"]), "").alias("fixed"))
     rows = text_lines.join(broken, "span_id", "left").join(x0, "span_id", "left").join(fixed, "span_id", "left").withColumn("text", F.coalesce("fixed", "text"))
-    block = Window.partitionBy("content_hash", F.floor(F.col("unit_number") / 16)).orderBy("unit_number", "span_index", "span_id")
-    before = F.lag(F.struct("text", "x0", "broken")).over(block)
     is_text = (F.length("text") >= 30) | F.col("text").rlike(r"[.!?…»“\"]\s*$")
-    rows = rows.withColumns({"_before": before, "_is_text": is_text})
-    held = F.lag("_is_text").over(block)
-    same_edge = F.coalesce(F.abs(F.col("x0") - F.col("_before.x0")) < 5, F.lit(True))
-    goes_on = F.coalesce(F.col("_before.broken"), F.lit(False)) | (held & F.col("_is_text") & same_edge)
-    rows = rows.withColumn("_starts", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("_p", F.sum("_starts").over(block))
+    rows = written(rows.withColumn("_is_text", is_text), "scan-rows")
+    at = F.struct("span_index", "span_id")
+    line = F.struct("x0", "broken", "_is_text")
+    page = Window.partitionBy("content_hash", "unit_number").orderBy("span_index", "span_id")
+    # the first line of a page is judged below, where the page before is known
+    rows = rows.withColumn("_before", F.lag(line).over(page))
+    rows = rows.withColumn("_starts", F.when(F.col("_before").isNull(), 0).otherwise(_starts(line, F.col("_before")))).withColumn("_p", F.sum("_starts").over(page))
+    pages = rows.groupBy("content_hash", "unit_number").agg(F.min_by(line, at).alias("_first"), F.max_by(line, at).alias("_last"), F.sum("_starts").alias("_n"))
+    rows = rows.join(paragraph_bases(pages), F.col("content_hash").eqNullSafe(F.col("_h")) & F.col("unit_number").eqNullSafe(F.col("_u"))).withColumn("_p", F.col("_p") + F.col("_base"))
     part = F.when(F.col("broken"), F.regexp_replace("text", r"[-¬\x{AD}]$", "")).otherwise(F.concat("text", F.lit(" ")))
-    grouped = rows.groupBy("content_hash", F.floor(F.col("unit_number") / 16).alias("_b"), "_p").agg(
+    grouped = rows.groupBy("content_hash", "_p").agg(
         F.min("unit_number").alias("unit_number"), F.array_sort(F.collect_list(F.struct("unit_number", "span_index", "span_id", part.alias("t")))).alias("l"))
     out = grouped.select("content_hash", "unit_number", "_p", F.trim(F.array_join(F.transform("l", lambda s: s["t"]), "")).alias("text"))
     number = F.row_number().over(Window.partitionBy("content_hash", "unit_number").orderBy("_p"))

@@ -144,6 +144,16 @@ def test_paragraphs(spark):
     assert "control of the wound and the dose was halved" in whole and "paticnt" not in whole and "Page 2" not in whole and "wo- und" not in whole
 
 
+@pytest.mark.parametrize("block", [4, 1024])
+def test_paragraphs_run_over_all_pages(spark, monkeypatch, block):
+    monkeypatch.setattr(scans, "BLOCK", block)
+    rows = [(100 * u + k, "c", u, k, f"page {''.join('akrxy'[u // d % 5] for d in (25, 5, 1))} goes on with more text in line {chr(97 + k)} of", 10.0, "pdf-text") for u in range(1, 40) for k in range(3)]
+    rows += [(4000, "c", 40, 0, "Title", 10.0, "pdf-text"), (4001, "c", 40, 1, "then another text that is long enough stands he-", 10.0, "pdf-text"), (4100, "c", 48, 0, "re and ends.", 10.0, "pdf-text")]
+    got = sorted(tuple(r) for r in scans.paragraphs(spark.createDataFrame(rows, SPANS)).collect())
+    assert [r[:3] for r in got] == [("c", 1, 1), ("c", 40, 1), ("c", 40, 2)]
+    assert got[0][3] == " ".join(r[4] for r in rows[:-3]) and got[2][3].endswith("stands here and ends.")
+
+
 def test_derivable():
     assert scans.derivable("cough", "c0ugh") and scans.derivable("similar", "sirnilar") and scans.derivable("контроль", "контропь")
     assert not scans.derivable("cough", "cough") and not scans.derivable("cough", "caugh") and not scans.derivable("cell", "cells")

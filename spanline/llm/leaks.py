@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import spread, written
@@ -17,9 +17,6 @@ from ..session import spread, written
 #: Words a fingerprint covers, and fingerprints a window holds: every shared run
 #: of at least ``GRAM + WINDOW - 1`` words has a fingerprint in common.
 GRAM, WINDOW = 5, 4
-#: Shared fingerprints count by how few items have them; a pair below is dropped.
-#: One run of 8 words that no other item has is enough.
-LEAST_WEIGHT = 1.0
 #: Extension: exact runs of words, and the words a copy may have changed between them.
 RUN, GAP, DRIFT = 3, 4, 2
 #: Part of an item's words a document must hold. Half by definition; words that
@@ -95,27 +92,40 @@ def _item_grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 OUT = "doc_id long, item_id long, part double"
 
 
-def _by_broadcast(documents: DataFrame, items: dict[int, str]) -> DataFrame:
+def _covered(item: list[str], runs: set[tuple[str, ...]]) -> float:
+    """Part of the item's words in runs a document has too: ``shared_part`` is no more."""
+    end = n = 0
+    for i in range(len(item) - RUN + 1):
+        if tuple(item[i : i + RUN]) in runs:
+            n += i + RUN - max(end, i)
+            end = i + RUN
+    return n / max(1, len(item))
+
+
+def _runs(doc: list[str]) -> set[tuple[str, ...]]:
+    return {tuple(doc[j : j + RUN]) for j in range(len(doc) - RUN + 1)}
+
+
+def _by_broadcast(documents: DataFrame, items: dict[str, list[int]]) -> DataFrame:
     """One pass over the documents: no shuffle, no second read of their texts."""
     shared = documents.sparkSession.sparkContext.broadcast(items)
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = {k: words(t) for k, t in shared.value.items()}
+        texts = [(words(t), ids) for t, ids in shared.value.items()]
         holders: dict[int, list[int]] = defaultdict(list)
-        for k, w in tokens.items():
+        for k, (w, _) in enumerate(texts):
             for h in set(grams(w)):
                 holders[h].append(k)
         for f in frames:
             out = []
             for doc_id, text in zip(f["doc_id"], f["text"], strict=True):
                 w = words(text)
-                weight: dict[int, float] = defaultdict(float)
-                for h in winnow(grams(w)):
-                    for k in holders.get(h, ()):
-                        weight[k] += 1 / len(holders[h])
-                for k, x in weight.items():
-                    if x >= LEAST_WEIGHT and (part := shared_part(tokens[k], w)) >= LEAST_PART:
-                        out.append((doc_id, k, part))
+                hit = {k for h in winnow(grams(w)) for k in holders.get(h, ())}
+                runs = _runs(w) if hit else set()
+                for k in hit:
+                    item, ids = texts[k]
+                    if _covered(item, runs) >= LEAST_PART and (part := shared_part(item, w)) >= LEAST_PART:
+                        out += [(doc_id, i, part) for i in ids]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "part"]).astype({"doc_id": "int64", "item_id": "int64", "part": "float64"})
 
     return documents.mapInPandas(find, OUT)
@@ -123,21 +133,25 @@ def _by_broadcast(documents: DataFrame, items: dict[int, str]) -> DataFrame:
 
 def _by_join(documents: DataFrame, items: DataFrame) -> DataFrame:
     """The same for test sets of any size: fingerprints are joined by hash."""
-    prints = written(items.mapInPandas(_item_grams, "item_id long, print long"), "leak-items")
-    counts = prints.groupBy("print").agg(F.count(F.lit(1)).alias("holders"))
-    prints = prints.join(counts, "print").withColumn("weight", 1 / F.col("holders"))
+    named = written(items.withColumn("text_id", F.min("item_id").over(Window.partitionBy("text"))), "leak-items")
+    texts = named.where(F.col("item_id") == F.col("text_id")).select("item_id", "text").distinct()
+    prints = texts.mapInPandas(_item_grams, "item_id long, print long")
     found = spread(documents.mapInPandas(_fingerprints, "id long, print long"), "print").join(prints, "print")
-    pairs = found.groupBy("id", "item_id").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= LEAST_WEIGHT)
-    texts = documents.select(F.col("doc_id").alias("id"), F.col("text").alias("doc_text"))
-    rows = pairs.join(texts, "id").join(items.withColumnRenamed("text", "item_text"), "item_id").select("id", "item_id", "doc_text", "item_text")
+    pairs = found.select("id", "item_id").distinct()
+    doc_texts = documents.select(F.col("doc_id").alias("id"), F.col("text").alias("doc_text"))
+    rows = pairs.join(doc_texts, "id").join(texts.withColumnRenamed("text", "item_text"), "item_id").select("id", "item_id", "doc_text", "item_text")
 
     def extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            part = [shared_part(words(i), words(d)) for d, i in zip(f["doc_text"], f["item_text"], strict=True)]
+            part = []
+            for d, i in zip(f["doc_text"], f["item_text"], strict=True):
+                doc, item = words(d), words(i)
+                part.append(shared_part(item, doc) if _covered(item, _runs(doc)) >= LEAST_PART else 0.0)
             out = pd.DataFrame({"doc_id": f["id"], "item_id": f["item_id"], "part": part})
             yield out[out["part"] >= LEAST_PART]
 
-    return rows.mapInPandas(extend, OUT)
+    leaks = rows.mapInPandas(extend, OUT).withColumnRenamed("item_id", "text_id")
+    return leaks.join(named.select("item_id", "text_id").distinct(), "text_id").select("doc_id", "item_id", "part")
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -145,14 +159,15 @@ def find_leaks(documents: DataFrame, items: DataFrame, most_broadcast: int = MOS
 
     Method: winnowing. Documents keep the least hash of every window of
     ``WINDOW`` consecutive hashes of ``GRAM`` words; items keep all hashes, so
-    every shared run of ``GRAM + WINDOW - 1`` words is met. Hits weigh less the
-    more items have them (stock phrases), and pairs of enough weight are
-    extended to chains of exact runs in item order with small gaps.
+    every shared run of ``GRAM + WINDOW - 1`` words is met. Every pair with a
+    hit is judged by the words it can share at most, then by its best chain of
+    exact runs in item order with small gaps; how many items share a hit does
+    not matter.
 
     Up to ``most_broadcast`` items (counted first) the fingerprints of the items
     go to every executor and documents are read once without a shuffle; beyond,
     fingerprints are joined. Defined results: null or empty texts leak nothing;
-    equal items leak together; repeated documents each give their rows; items
+    equal items leak together, looked up once; repeated documents each give their rows; items
     under ``GRAM`` words can only be met by documents equal to them; extra
     columns are ignored.
     """
@@ -160,7 +175,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, most_broadcast: int = MOS
     tests = items.select(F.col("item_id").cast("long"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     rows = tests.limit(most_broadcast + 1).collect()
     if len(rows) <= most_broadcast:
-        found = _by_broadcast(docs, {r[0]: r[1] for r in rows})
+        texts: dict[str, list[int]] = defaultdict(list)
+        for item_id, text in rows:
+            texts[text].append(item_id)
+        found = _by_broadcast(docs, dict(texts))
     else:
         found = _by_join(docs, tests)
     return found.groupBy("doc_id", "item_id").agg(F.max("part").alias("part"))

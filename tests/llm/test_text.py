@@ -100,6 +100,18 @@ def brute_leaks(docs, items):
     return {(d, i) for d, t in docs for i, u in items if (w := leaks.words(u)) and leaks.shared_part(w, leaks.words(t)) >= leaks.LEAST_PART}
 
 
+def test_items_that_share_their_text_leak_together(spark):
+    r = random.Random(8)
+    text = [f"w{r.randrange(500)}" for _ in range(83)]
+    items = [(i, " ".join(text)) for i in range(60)] + [(100 + i, " ".join([*text[:80], f"x{i}", f"y{i}", f"z{i}"])) for i in range(60)]
+    docs = [(1, "before " + " ".join(text) + " after"), (2, " ".join(text[:45])), (3, " ".join(text[:12]))]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = {(d, i) for d in (1, 2) for i, _ in items}
+    assert brute_leaks(docs, items) == expected
+    for most in (1000, 1):
+        assert {(x.doc_id, x.item_id) for x in leaks.find_leaks(df, it, most_broadcast=most).collect()} == expected
+
+
 def test_leaks_by_both_ways_and_brute_force(spark):
     r = random.Random(5)
     vocabulary = [f"w{i}" for i in range(400)]

@@ -25,6 +25,8 @@ STUCK = 5
 #: cannot occur in a body; nor can zero and negative ones.
 IMPOSSIBLE_RATIO = 50.0
 SPLINE = np.array([1, 4, 6, 4, 1]) / 16
+#: Deviation of each level's details of white noise of deviation 1.
+GAINS = (0.7235, 0.2854, 0.1779)
 
 
 def details(series: np.ndarray, levels: int = 3) -> list[np.ndarray]:
@@ -43,16 +45,20 @@ def details(series: np.ndarray, levels: int = 3) -> list[np.ndarray]:
 
 def spikes(series: np.ndarray, spread: float) -> np.ndarray:
     """Marks spikes of a level-free log series; replaces them and looks again,
-    so that neither their echoes nor neighbours hide or fake one."""
+    so that neither their echoes nor neighbours hide or fake one.
+
+    The details' deviation is that of noise of the source's ``spread``, or less
+    where most details are smaller; a spike's echo fills a short series' own
+    median. Fewer than three measurements cannot tell which is the spike."""
     y, marks = series.copy(), np.zeros(len(series), dtype=bool)
     far = max(RANGE_LIMIT * spread, RANGE_LEAST)
-    if not (np.abs(y) > far).any():
+    if len(y) < 3 or not (np.abs(y) > far).any():
         return marks
     for _ in range(len(y)):
-        bands = details(y) or [y - np.median(y)]
         score = np.zeros(len(y))
-        for d in bands:
-            score = np.maximum(score, np.abs(d) / max(1.4826 * np.median(np.abs(d)), 0.25 * spread, 1e-6))
+        for d, gain in zip(details(y), GAINS, strict=False):
+            own = max(1.4826 * np.median(np.abs(d)), 0.25 * spread)
+            score = np.maximum(score, np.abs(d) / max(min(own, gain * spread), 1e-6))
         new = (score > DETAIL_LIMIT) & (np.abs(y) > far)
         if not new.any():
             break
@@ -110,7 +116,8 @@ def implausible(facts: DataFrame, concepts: DataFrame, terms: DataFrame) -> Data
     rows; the decomposition runs in chunks with overlapping context, exact for
     runs across chunks. Defined results: facts without number or listed analyte
     are never flagged; undated facts can be spikes, never stuck; a source with
-    one measurement has no usual range; an empty input gives an empty result.
+    one or two measurements of an analyte has no usual range, so of its spikes
+    only impossible readings are found; an empty input gives an empty result.
     """
     units = normalise_units(facts, concepts, terms).where(F.col("value_common").isNotNull())
     units = written(units.select("fact_id", "source_id", "concept_id", "day", "exact_day", "delivery", "value_common"), "spikes-units")

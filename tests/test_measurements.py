@@ -98,6 +98,22 @@ def test_implausible_with_and_without_small_chunks(spark, lists, monkeypatch):
     assert {x.fact_id for x in spikes.implausible(df, *lists).collect()} == expected
 
 
+@pytest.mark.parametrize("n", range(3, 13))
+def test_spikes_in_short_series(n):
+    r = np.random.default_rng(n)
+    for at in range(n):
+        series = r.normal(0, 0.04, n)
+        series[at] = math.log(10)
+        assert np.flatnonzero(spikes.spikes(series, 0.04)).tolist() == [at]
+    assert not spikes.spikes(r.normal(0, 0.02, n), 0.04).any() and not spikes.spikes(np.array([0.0, 2.0]), 0.04).any()
+
+
+def test_gains_are_those_of_the_kernel():
+    impulse = np.zeros(129)
+    impulse[64] = 1.0
+    assert [float(np.sqrt((d**2).sum())) for d in spikes.details(impulse)] == pytest.approx(spikes.GAINS, abs=1e-3)
+
+
 def test_chunks_bound_groups_and_keep_rows(spark):
     rows = [("hot", date(2020, 1, 1) + timedelta(i // 3), i) for i in range(1000)] + [("hot", None, -1), (None, date(2020, 1, 1), -2)] + [("day", date(2021, 1, 1), 5000 + i) for i in range(400)]
     df = spark.createDataFrame(rows, "k string, d date, i int")

@@ -261,6 +261,12 @@ def date_literals(spark, sf):
     return df.select("raw", D.format_alternatives(D.parse_date(F.col("raw"))).alias("reading"))
 
 
+@query()
+def date_readings(spark, sf):
+    """Readings of all dates claimed."""
+    return load(spark, sf, "date_claims").select("date_id", "raw", D.format_alternatives(D.parse_date(F.col("raw"))).alias("reading"))
+
+
 @query(r"""
 WITH t AS (SELECT fact_id, raw_value, replace(replace(replace(raw_value, ' ', ''), '−', '-'), '﹣', '-') AS s FROM lab_facts)
 SELECT fact_id, nullif(regexp_extract(s, '^(<=|>=|<|>|≤|≥)?([+-]?[0-9]+([.,][0-9]+)?)$', 1), '') AS comparator,

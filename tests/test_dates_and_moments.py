@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -13,6 +14,7 @@ from spanline.errors import EngineError
 from spanline.functions import dates as D
 from spanline.functions.moments import read_moment
 from spanline.operators.timestamps import extend_dictionary, normalise_moments, same_moments
+from spanline.plans import catalogue
 
 MOMENTS = [
     ("2018-07-05T23:37:19", "America/Chicago", ("minute", "2018-07-06T04:37Z")),
@@ -77,6 +79,29 @@ def test_pairs_against_brute_force(spark, data):
     assert {tuple(r) for r in same_moments(normalise_moments(claims)).collect()} == expected
 
 
+def test_readings_of_all_claims(spark, data):
+    claims = {r.date_id: r.raw for r in spark.read.parquet(f"{data}/date_claims.parquet").collect()}
+    got = {r.date_id: r for r in catalogue.QUERIES["date_readings"](spark, data).collect()}
+    assert {k: r.raw for k, r in got.items()} == claims
+    seen = 0
+    for k, raw in claims.items():
+        m = re.fullmatch(r"(?P<y>\d{4})-(?P<m>\d\d)-(?P<d>\d\d)|(?P<d2>\d\d)\.(?P<m2>\d\d)\.(?P<y2>\d{4})", raw or "")
+        if m:
+            y, mo, d = (int(m[c] or m[c + "2"]) for c in "ymd")
+            try:
+                want = date(y, mo, d).isoformat()
+            except ValueError:
+                want = ""
+            assert got[k].reading == want, raw
+            seen += 1
+    assert seen > 5 and len({r.reading for r in got.values()}) > 20
+
+
+def test_readings_of_literals(spark):
+    df = spark.createDataFrame(catalogue.LITERALS, "raw string, expected string")
+    assert df.select("expected", D.format_alternatives(D.parse_date(F.col("raw"))).alias("r")).where("r <> expected or r is null").collect() == []
+
+
 def test_classify_against_every_day(spark):
     window = D.DateRange(date(2020, 2, 1), date(2020, 3, 15))
     periods = [(date(2020, 1, 15), date(2020, 1, 15)), (date(2020, 2, 1), date(2020, 2, 29)), (date(2020, 3, 1), date(2020, 3, 31)), (date(2020, 1, 1), date(2020, 12, 31)), (date(2021, 1, 1), date(2021, 1, 31))]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import small_side, spread, written
 
 
 def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[dict], dict], schema: str) -> DataFrame:
@@ -66,35 +67,64 @@ def _joined(parts: list[dict]) -> dict:
     return parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
 
 
-def chunked(df: DataFrame, keys: list[str], day: str, size: int, halo: int = 0) -> DataFrame:
-    """Adds ``chunk`` so that no (keys, chunk) group exceeds about ``2 * size`` rows.
+def _same(keys: list[str], names: list[str]) -> Column:
+    out = F.lit(True)
+    for k, n in zip(keys, names, strict=True):
+        out = out & F.col(k).eqNullSafe(F.col(n))
+    return out
 
-    Chunks are consecutive ranges of ``day`` (null days first). Rows are
-    pre-aggregated to one row a day before any window runs, so the window's
-    partitions are bounded by the calendar; a single day of more than ``size``
-    rows is salted over several chunks. With ``halo`` each chunk also gets
-    copies of at least that many rows before and after it, marked ``own`` false.
+
+def chunked(df: DataFrame, keys: list[str], day: str, order: str, size: int, halo: int = 0) -> DataFrame:
+    """Adds ``chunk`` and ``own`` so that no (keys, chunk) group exceeds ``size + 2 * halo`` rows.
+
+    The rows of a group are numbered by ``day`` (null days first) and ``order``
+    (an integer), and cut every ``size`` rows. With ``halo`` each chunk also gets
+    copies of exactly that many rows before and after it, as far as there are
+    any, marked ``own`` false.
+
+    Numbers come from two levels: rows per day are counted before they move, and
+    rows are numbered inside their day only. A day of more than ``size`` rows is
+    first cut into consecutive ranges of ``order``, so no task numbers more
+    than a range. The numbering depends on the rows alone, so a task that runs
+    again gives the same chunks.
     """
     at = F.coalesce(F.col(day), F.lit("0001-01-01").cast("date"))
     group = Window.partitionBy(*keys)
-    days = df.select(*keys, at.alias("_day")).groupBy(*keys, "_day").agg(F.count(F.lit(1)).alias("_n"))
-    days = days.withColumn("_after", F.sum("_n").over(group.orderBy("_day"))).withColumn("_c", F.floor((F.col("_after") - F.col("_n")) / size))
-    days = days.withColumn("_s", F.ceil(F.col("_n") / size).cast("long")).withColumn("_c", F.dense_rank().over(group.orderBy("_c")))
-    own = F.struct(F.col("_c").alias("c"), F.lit(True).alias("own"))
-    places = F.array(own)
+    days = df.groupBy(*keys, at.alias("_day")).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    days = days.withColumns({"_before": F.sum("_n").over(group.orderBy("_day")) - F.col("_n"), "_total": F.sum("_n").over(group)})
+    names = [f"_k{i}" for i in range(len(keys))]
+    days = written(days.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_day").alias("_at"), "_n", "_lo", "_hi", "_before", "_total"), "chunk-days")
+    rows = df.withColumn("_day", at)
+    same = _same([*keys, "_day"], [*names, "_at"])
+    hot = days.where(F.col("_n") > size)
+    if not hot.limit(1).count():
+        numbered = rows.join(days, same)
+        within = F.row_number().over(Window.partitionBy(*names, "_at").orderBy(order))
+        numbered = numbered.withColumn("_pos", F.col("_before") + within - 1)
+    else:
+        hot = small_side(hot)
+        usual = rows.join(days.where(F.col("_n") <= size), same)
+        usual = usual.withColumn("_pos", F.col("_before") + F.row_number().over(Window.partitionBy(*names, "_at").orderBy(order)) - 1)
+        ranges = F.ceil(F.col("_n") * 4 / size)
+        part = F.floor((F.col(order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(1.0)) * ranges).cast("int")
+        heavy = rows.join(hot, same).withColumn("_part", part)
+        parts = heavy.groupBy(*names, "_at", "_part").agg(F.count(F.lit(1)).alias("_m"))
+        ahead = F.sum("_m").over(Window.partitionBy(*names, "_at").orderBy("_part")) - F.col("_m")
+        parts = parts.select(*[F.col(c).alias(f"_p{c}") for c in (*names, "_at", "_part")], ahead.alias("_ahead"))
+        heavy = spread(heavy, *names, "_at", "_part")
+        heavy = heavy.withColumn("_pos", F.row_number().over(Window.partitionBy(*names, "_at", "_part").orderBy(order)))
+        heavy = heavy.join(small_side(parts), _same([*names, "_at", "_part"], [f"_p{c}" for c in (*names, "_at", "_part")]))
+        heavy = heavy.withColumn("_pos", F.col("_before") + F.col("_ahead") + F.col("_pos") - 1)
+        numbered = usual.unionByName(heavy.select(*usual.columns))
+    c = F.floor(F.col("_pos") / size).cast("long")
+    place = lambda n, own: F.struct(n.alias("c"), F.lit(own).alias("own"))
+    places = F.array(place(c, True))
     if halo:
-        chunk = Window.partitionBy(*keys, "_c")
-        days = days.withColumn("_to_end", F.max("_after").over(chunk) - F.col("_after"))
-        days = days.withColumn("_from_start", F.col("_after") - F.col("_n") - F.min(F.col("_after") - F.col("_n")).over(chunk))
-        none = F.array().cast("array<struct<c:int,own:boolean>>")
-        later = F.when(F.col("_to_end") < halo, F.array(F.struct((F.col("_c") + 1).alias("c"), F.lit(False).alias("own")))).otherwise(none)
-        earlier = F.when((F.col("_from_start") < halo) & (F.col("_c") > 1), F.array(F.struct((F.col("_c") - 1).alias("c"), F.lit(False).alias("own")))).otherwise(none)
-        places = F.concat(places, later, earlier)
-    days = days.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_day", "_s", places.alias("_places"))
-    same = at == F.col("_day")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    rows = df.join(days, same, "left").withColumn("_place", F.explode("_places"))
-    salt = F.when((F.col("_s") > 1) & F.col("_place.own"), F.pmod(F.monotonically_increasing_id(), F.col("_s"))).otherwise(F.lit(0))
-    rows = rows.withColumn("chunk", F.concat_ws(".", F.lpad(F.col("_place.c").cast("string"), 12, "0"), salt.cast("string"))).withColumn("own", F.col("_place.own"))
-    return rows.drop("_day", "_s", "_places", "_place", *[f"_k{i}" for i in range(len(keys))])
+        # short chunks lend rows to more than the next one
+        reach = math.ceil(halo / size)
+        others = [place(c + k, False) for k in range(-reach, reach + 1) if k]
+        first, last = lambda p: p["c"] * size - halo, lambda p: (p["c"] + 1) * size + halo
+        within = lambda p: (p["c"] >= 0) & (p["c"] * size < F.col("_total")) & (F.col("_pos") >= first(p)) & (F.col("_pos") < last(p))
+        places = F.concat(places, F.filter(F.array(*others), within))
+    out = numbered.withColumn("_place", F.explode(places)).withColumns({"chunk": F.col("_place.c"), "own": F.col("_place.own")})
+    return out.drop("_day", "_at", "_n", "_lo", "_hi", "_before", "_total", "_pos", "_place", *names)

@@ -12,59 +12,78 @@ from ..session import written
 from .grouped import chunked, map_groups
 from .units import normalise_units
 
-#: Measurements one wavelet pass sees at most (about), and its context on both sides.
-CHUNK, HALO = 4096, 24
-#: Detail coefficients beyond so many robust deviations are candidates.
-DETAIL_LIMIT = 4.0
-#: A candidate is a spike if its log value is so many robust deviations, and at
-#: least so far, from the level of its source.
-RANGE_LIMIT, RANGE_LEAST = 6.5, 0.18
+#: Measurements one wavelet pass judges at most, and its context on both sides.
+CHUNK, HALO = 4096, 32
+#: A measurement whose details add up to so many robust deviations, and to so
+#: much at least, is a spike.
+DETAIL_LIMIT, DETAIL_LEAST = 6.5, 0.18
+LEVELS = 3
+#: From so many measurements on, a series' own details tell its noise.
+ENOUGH = 24
 #: Equal measurements in a row that count as stuck.
 STUCK = 5
 #: Readings so many times above or below the analyte's median over all sources
 #: cannot occur in a body; nor can zero and negative ones.
 IMPOSSIBLE_RATIO = 50.0
 SPLINE = np.array([1, 4, 6, 4, 1]) / 16
-#: Deviation of each level's details of white noise of deviation 1.
-GAINS = (0.7235, 0.2854, 0.1779)
 
 
-def details(series: np.ndarray, levels: int = 3) -> list[np.ndarray]:
-    """Undecimated wavelet details (B3 spline, with holes) of a series."""
-    out, smooth, n = [], series, len(series)
+def details(series: np.ndarray, known: np.ndarray | None = None, levels: int = LEVELS) -> list[np.ndarray]:
+    """Undecimated wavelet details (B3 spline, with holes) of a series.
+
+    Only ``known`` places carry weight in the smooth parts, so a place that is
+    not has details against what its neighbours say."""
+    n = len(series)
+    weight = np.ones(n) if known is None else known.astype(float)
+    out, before = [], series
+    held = np.where(weight > 0, series, 0.0)
     for j in range(levels):
         step = 2**j
         if n <= 2 * step:
             break
-        padded = np.pad(smooth, 2 * step, mode="reflect") if n > 2 * step else smooth
-        rougher = sum(w * padded[i * step : i * step + n] for i, w in enumerate(SPLINE))
-        out.append(smooth - rougher)
-        smooth = rougher
+        w, x = (np.pad(a, 2 * step, mode="reflect") for a in (weight, held * weight))
+        total = sum(c * w[i * step : i * step + n] for i, c in enumerate(SPLINE))
+        smooth = np.divide(sum(c * x[i * step : i * step + n] for i, c in enumerate(SPLINE)), total, out=np.array(before, dtype=float), where=total > 1e-12)
+        out.append(before - smooth)
+        before = held = smooth
+        weight = np.minimum(total, 1.0)
     return out
 
 
+def noise(found: list[np.ndarray], known: np.ndarray, usual: float) -> float:
+    """Deviation of a series' noise: from its own details where there are
+    enough of them, though no more than its ``usual`` spread."""
+    if len(found) and known.sum() >= ENOUGH:
+        own = 1.4826 * float(np.median(np.abs(sum(found)[known])))
+        return max(min(own, usual), 0.01)
+    return max(usual, 0.01)
+
+
 def spikes(series: np.ndarray, spread: float) -> np.ndarray:
-    """Marks spikes of a level-free log series; replaces them and looks again,
-    so that neither their echoes nor neighbours hide or fake one.
-
-    The details' deviation is that of noise of the source's ``spread``, or less
-    where most details are smaller; a spike's echo fills a short series' own
-    median. Fewer than three measurements cannot tell which is the spike."""
-    y, marks = series.copy(), np.zeros(len(series), dtype=bool)
-    far = max(RANGE_LIMIT * spread, RANGE_LEAST)
-    if len(y) < 3 or not (np.abs(y) > far).any():
+    """Marks spikes of a log series.
+
+    The details of all levels add up to what a measurement has beyond the
+    smooth part of its series. The largest are taken out of the smooth part and
+    the series is decomposed again, until none is beyond the limit; what was
+    taken out is then judged once more against the smooth part without it, so
+    neither echoes nor neighbours hide or fake a spike. ``spread`` is the usual
+    spread of the source. Of fewer than three measurements none can be told to
+    be the spike."""
+    n = len(series)
+    marks = np.zeros(n, dtype=bool)
+    if n < 3:
         return marks
-    for _ in range(len(y)):
-        score = np.zeros(len(y))
-        for d, gain in zip(details(y), GAINS, strict=False):
-            own = max(1.4826 * np.median(np.abs(d)), 0.25 * spread)
-            score = np.maximum(score, np.abs(d) / max(min(own, gain * spread), 1e-6))
-        new = (score > DETAIL_LIMIT) & (np.abs(y) > far)
-        if not new.any():
+    for _ in range(n):
+        found = details(series, ~marks)
+        rest = np.abs(sum(found))
+        limit = max(DETAIL_LIMIT * noise(found, ~marks, spread), DETAIL_LEAST)
+        beyond = ~marks & (rest > limit)
+        if not beyond.any() or 2 * (marks.sum() + 1) > n:
             break
-        marks |= new
-        y[new] = 0.0
-    return marks
+        # in short series a spike's echo is as large; the median tells them apart
+        score = rest + np.abs(series - np.median(series[~marks])) if n < ENOUGH else rest
+        marks |= beyond & (score >= 0.6 * score[beyond].max())
+    return marks & (rest > limit) if marks.any() else marks
 
 
 def zero_runs(values: np.ndarray, least: int) -> np.ndarray:
@@ -85,12 +104,11 @@ def _mark(rows: dict) -> dict:
     with np.errstate(divide="ignore", invalid="ignore"):
         logs = np.log(value)
     impossible = (value <= 0) | (np.abs(logs - bound) > np.log(IMPOSSIBLE_RATIO))
-    x = logs - rows["level"].astype(float)
-    usable = np.isfinite(x)
+    usable = np.isfinite(logs)
     spike = np.zeros(len(value), dtype=bool)
     if usable.any():
         spread = float(rows["spread"].astype(float)[0])
-        spike[usable] = spikes(x[usable], max(0.0 if math.isnan(spread) else 1.4826 * spread, 0.01))
+        spike[usable] = spikes(logs[usable], 0.0 if math.isnan(spread) else spread)
     dated = rows["exact_day"].astype(bool)
     stuck = np.zeros(len(value), dtype=bool)
     stuck[dated] = zero_runs(value[dated], STUCK)
@@ -106,31 +124,33 @@ def implausible(facts: DataFrame, concepts: DataFrame, terms: DataFrame) -> Data
     """Facts with implausible readings: ``fact_id, spike, stuck, impossible``.
 
     Method: numbers are brought to the common unit, repeated deliveries are
-    counted once, and each source's and analyte's dated log series is
-    decomposed into undecimated wavelet details; coefficients beyond
-    ``DETAIL_LIMIT`` robust deviations are candidates, kept as spikes when the
-    value lies outside the source's usual range; runs of zero detail over
-    ``STUCK`` or more days' measurements are stuck; bounds mark what cannot be.
-
-    Level and spread of a source, and the bounds, are aggregates over all its
-    rows; the decomposition runs in chunks with overlapping context, exact for
-    runs across chunks. Defined results: facts without number or listed analyte
-    are never flagged; undated facts can be spikes, never stuck; a source with
-    one or two measurements of an analyte has no usual range, so of its spikes
-    only impossible readings are found; an empty input gives an empty result.
+    counted once, and each source's and analyte's log series, by day, is
+    decomposed into undecimated wavelet details. A measurement whose details
+    exceed ``DETAIL_LIMIT`` robust deviations of the series' details is a spike;
+    runs of zero detail over ``STUCK`` or more days' measurements are stuck;
+    bounds mark what cannot be: numbers that are not positive, and those
+    ``IMPOSSIBLE_RATIO`` times off the analyte's median over all sources.
+
+    The usual spread of a source and the bounds are aggregates over all its
+    rows; the decomposition runs in chunks with exact context around them.
+    Defined results: facts without number or listed analyte are never flagged;
+    undated facts can be spikes, never stuck; of one or two measurements of an
+    analyte only impossible ones are found; measurements of one day follow one
+    another by fact_id; an empty input gives an empty result.
     """
     units = normalise_units(facts, concepts, terms).where(F.col("value_common").isNotNull())
     units = written(units.select("fact_id", "source_id", "concept_id", "day", "exact_day", "delivery", "value_common"), "spikes-units")
     once = units.groupBy("source_id", "concept_id", "delivery").agg(F.min("fact_id").alias("fact_id"), F.min("day").alias("day"), F.min("exact_day").alias("exact_day"), F.min("value_common").alias("value_common"))
     logs = F.log(F.when(F.col("value_common") > 0, F.col("value_common")))
-    levels = once.groupBy("source_id", "concept_id").agg(F.percentile_approx(logs, 0.5, 10000).alias("level"))
-    named = levels.select(F.col("source_id").alias("_s"), F.col("concept_id").alias("_c"), "level")
-    at = F.col("source_id").eqNullSafe(F.col("_s")) & (F.col("concept_id") == F.col("_c"))
-    off = once.join(named, at)
-    spread = off.groupBy("_s", "_c", "level").agg(F.percentile_approx(F.abs(logs - F.col("level")), 0.5, 10000).alias("spread"))
-    analyte = levels.groupBy(F.col("concept_id").alias("_a")).agg(F.percentile_approx("level", 0.5, 10000).alias("analyte_level"))
-    rows = once.join(spread, at, "left").drop("_s", "_c").join(analyte, F.col("concept_id") == F.col("_a"), "left").drop("_a")
-    rows = chunked(rows, ["source_id", "concept_id"], "day", CHUNK, HALO)
+    quarters = F.percentile_approx(logs, [0.25, 0.5, 0.75], 10000)
+    usual = once.groupBy("source_id", "concept_id").agg(quarters.alias("_q"))
+    # a quarter range of white noise is 1.349 deviations
+    usual = usual.select(F.col("source_id").alias("_s"), F.col("concept_id").alias("_c"), F.col("_q")[1].alias("level"), ((F.col("_q")[2] - F.col("_q")[0]) / 1.349).alias("spread"))
+    usual = written(usual, "spikes-usual")
+    analyte = usual.groupBy(F.col("_c").alias("_a")).agg(F.percentile_approx("level", 0.5, 10000).alias("analyte_level"))
+    usual = usual.join(analyte, F.col("_c") == F.col("_a"), "left").select("_s", "_c", "spread", "analyte_level")
+    rows = chunked(written(once, "spikes-once"), ["source_id", "concept_id"], "day", "fact_id", CHUNK, HALO)
+    rows = rows.join(usual, F.col("source_id").eqNullSafe(F.col("_s")) & (F.col("concept_id") == F.col("_c")), "left").drop("_s", "_c")
     marked = map_groups(rows, ["source_id", "concept_id", "chunk"], ["day", "fact_id"], _mark, MARKED)
     marked = marked.select(F.col("source_id").alias("_s"), F.col("concept_id").alias("_c"), F.col("delivery").alias("_d"), "spike", "stuck", "impossible")
     same = F.col("source_id").eqNullSafe(F.col("_s")) & (F.col("concept_id") == F.col("_c")) & (F.col("delivery") == F.col("_d"))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.moments import read_moment
-from ..session import run_folder, spread
+from ..session import exists, kept_folder, spread
 
 #: Raise when the grammar changes: an older dictionary is then not used.
 GRAMMAR = 1
@@ -28,33 +28,35 @@ def extend_dictionary(claims: DataFrame, path: str) -> DataFrame:
     """The dictionary of distinct (raw, site_zone) at ``path``, with every pair of
     ``claims`` in it. Only pairs that are not there yet are parsed and appended,
     so each distinct string is parsed once however often it occurs or is loaded.
-    Two writers at once can at worst append equal entries, which are merged on reading.
+    Each load writes a folder of its own, so two writers at once can at worst
+    add equal entries, which are merged on reading.
     """
     spark = claims.sparkSession
-    wanted = spread(claims.where(F.col("raw").isNotNull()).select("raw", "site_zone"), "raw", "site_zone").distinct()
-    try:
-        known = spark.read.schema(ENTRY).parquet(path).where(F.col("grammar") == GRAMMAR)
-        k = known.select(F.col("raw").alias("_r"), F.col("site_zone").alias("_z")).distinct()
+    wanted = claims.where(F.col("raw").isNotNull()).select("raw", "site_zone").distinct()
+    if exists(spark, path):
+        k = _known(spark, path).select(F.col("raw").alias("_r"), F.col("site_zone").alias("_z")).distinct()
         wanted = wanted.join(k, (F.col("raw") == F.col("_r")) & F.col("site_zone").eqNullSafe(F.col("_z")), "left_anti")
-    except AnalysisException:
-        pass  # no dictionary yet
-    wanted.mapInPandas(_parse, ENTRY).write.mode("append").parquet(path)
-    return spark.read.schema(ENTRY).parquet(path).where(F.col("grammar") == GRAMMAR).select("raw", "site_zone", "kind", "moment").distinct()
+    spread(wanted, "raw", "site_zone").mapInPandas(_parse, ENTRY).write.parquet(f"{path}/load={uuid.uuid4().hex}")
+    return _known(spark, path).select("raw", "site_zone", "kind", "moment").distinct()
+
+
+def _known(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ENTRY).parquet(path).where(F.col("grammar") == GRAMMAR)
 
 
 def normalise_moments(claims: DataFrame, dictionary: str | None = None) -> DataFrame:
     """``claims`` with ``kind`` (minute, day, month, year, unsettled) and ``moment``.
 
     Method: distinct strings with their zone go into a dictionary that is parsed
-    exhaustively once, kept at ``dictionary`` (a fresh folder by default) and
-    joined back. ``moment`` is the UTC minute, the day, month or year in ISO
+    exhaustively once, kept at ``dictionary`` (by default a named folder in the
+    shared folder, which later loads extend) and joined back. ``moment`` is the UTC minute, the day, month or year in ISO
     form, or why a claim is unsettled. Defined results: null or empty ``raw`` is
     unsettled (``no reading``); strings are read whole, so a date inside a longer
     text is no reading; repeated rows stay repeated; columns named ``kind`` or
     ``moment`` in the input are replaced; an empty table gives an empty result.
     """
     claims = claims.drop("kind", "moment")
-    d = extend_dictionary(claims, dictionary or run_folder(claims.sparkSession, "moments"))
+    d = extend_dictionary(claims, dictionary or kept_folder(claims.sparkSession, "moments"))
     d = d.select(F.col("raw").alias("_r"), F.col("site_zone").alias("_z"), "kind", "moment")
     joined = claims.join(d, (F.col("raw") == F.col("_r")) & F.col("site_zone").eqNullSafe(F.col("_z")), "left").drop("_r", "_z")
     return joined.withColumns({"kind": F.coalesce("kind", F.lit("unsettled")), "moment": F.coalesce("moment", F.lit("no reading"))})

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import suppress
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,16 +61,45 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def run_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder in the shared folder, for one run of one operator."""
-    return f"{shared_folder(spark)}/spanline/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    """A fresh folder in the shared folder, for one run of one operator; it goes
+    when the application's driver ends."""
+    base = f"{shared_folder(spark)}/spanline/{spark.sparkContext.applicationId}"
+    _cleaned_at_exit(spark.sparkContext, base)
+    return f"{base}/{label}-{uuid.uuid4().hex}"
+
+
+def kept_folder(spark: SparkSession, label: str) -> str:
+    """A folder in the shared folder that outlives the application."""
+    return f"{shared_folder(spark)}/spanline/kept/{label}"
+
+
+def _hadoop(context, path: str):
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``, on whatever file system."""
+    at, files = _hadoop(spark.sparkContext, path)
+    return files.exists(at)
+
+
+@lru_cache(maxsize=100)
+def _cleaned_at_exit(context, base: str) -> None:
+    at, files = _hadoop(context, base)
+
+    def delete() -> None:
+        with suppress(Exception):  # the JVM may be gone
+            files.delete(at, True)
+
+    atexit.register(delete)
 
 
 def clean(spark: SparkSession) -> None:
     """Deletes what this application wrote to the shared folder, once its results
     are stored; results that still read it cannot be computed again afterwards."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/spanline/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    at, files = _hadoop(spark.sparkContext, f"{shared_folder(spark)}/spanline/{spark.sparkContext.applicationId}")
+    files.delete(at, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -81,6 +111,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes up to which a counted and sized side is sent to every executor.
+MOST_BROADCAST_BYTES = 32 * 2**20
+
+
+def small_side(df: DataFrame, most_rows: int = 500_000, row_bytes: int = 64) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to be small, else as it is.
+    ``row_bytes`` bounds a row; texts are not sent this way."""
+    most = min(most_rows, MOST_BROADCAST_BYTES // row_bytes)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Hash-partition by ``keys`` with as many partitions as the session shuffles to."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -15,6 +15,7 @@ from spanline.functions import dates as D
 from spanline.functions.moments import read_moment
 from spanline.operators.timestamps import extend_dictionary, normalise_moments, same_moments
 from spanline.plans import catalogue
+from spanline.session import run_folder
 
 MOMENTS = [
     ("2018-07-05T23:37:19", "America/Chicago", ("minute", "2018-07-06T04:37Z")),
@@ -72,6 +73,20 @@ def test_dictionary_grows_only_by_new_strings(spark, tmp_path):
     assert pairs == {(1, 2), (1, 3)}
 
 
+def test_the_kept_dictionary_parses_only_new_strings(spark, monkeypatch):
+    from spanline.operators import timestamps
+
+    monkeypatch.setattr(timestamps, "kept_folder", lambda s, label: f"{run_folder(s, 'kept')}")
+    where = timestamps.kept_folder(spark, "moments")
+    monkeypatch.setattr(timestamps, "kept_folder", lambda s, label: where)
+    first = spark.createDataFrame([(1, "2020-01-02", None)], "date_id long, raw string, site_zone string")
+    more = first.union(spark.createDataFrame([(2, "May 2021", None)], first.schema))
+    for df in (first, more, more):
+        assert normalise_moments(df).where("kind = 'unsettled'").count() == 0
+    entries = spark.read.parquet(where)
+    assert entries.count() == 2 and sorted(r["count"] for r in entries.groupBy("load").count().collect()) == [1, 1]
+
+
 def test_pairs_against_brute_force(spark, data):
     claims = spark.read.parquet(f"{data}/date_claims.parquet")
     rows = [(r.date_id, r.content_hash, r.unit_number, r.raw, *read_moment(r.raw, r.site_zone)) for r in claims.collect()]

@@ -95,6 +95,7 @@ def test_implausible_with_and_without_small_chunks(spark, lists, monkeypatch):
     assert {x.fact_id for x in spikes.implausible(df, *lists).collect()} == expected
     monkeypatch.setattr(spikes, "CHUNK", 37)
     monkeypatch.setattr(units, "CHUNK", 37)
+    monkeypatch.setattr(units, "HALO", 40)
     assert {x.fact_id for x in spikes.implausible(df, *lists).collect()} == expected
 
 
@@ -108,19 +109,106 @@ def test_spikes_in_short_series(n):
     assert not spikes.spikes(r.normal(0, 0.02, n), 0.04).any() and not spikes.spikes(np.array([0.0, 2.0]), 0.04).any()
 
 
-def test_gains_are_those_of_the_kernel():
-    impulse = np.zeros(129)
-    impulse[64] = 1.0
-    assert [float(np.sqrt((d**2).sum())) for d in spikes.details(impulse)] == pytest.approx(spikes.GAINS, abs=1e-3)
+def drifting(seed=1, n=400):
+    """A series whose level moves by a factor of twenty, with seven spikes that
+    stay inside the range of the whole."""
+    r = np.random.default_rng(seed)
+    series = np.linspace(0, 3, n) + 0.4 * np.sin(np.arange(n) / 20) + r.normal(0, 0.04, n)
+    at = [10, 50, 51, 120, 200, 300, 390]
+    series[at] += [1, 1.2, 1.1, -1, 0.8, -0.9, 1]
+    return series, at
+
+
+def test_the_wavelet_finds_what_the_range_does_not(monkeypatch):
+    series, at = drifting()
+    q = np.quantile(series, [0.25, 0.5, 0.75])
+    assert np.flatnonzero(spikes.spikes(series, (q[2] - q[0]) / 1.349)).tolist() == at
+    off = np.abs(series - q[1])
+    assert not (off > spikes.DETAIL_LIMIT * 1.4826 * np.median(off)).any()
+    # without the decomposition nothing is found
+    monkeypatch.setattr(spikes, "details", lambda series, known=None, levels=3: [np.zeros(len(series))])
+    assert not spikes.spikes(series, (q[2] - q[0]) / 1.349).any()
+
+
+def test_details_add_up_and_skip_unknown_places():
+    series, at = drifting(4)
+    known = np.ones(len(series), dtype=bool)
+    known[at] = False
+    rest = sum(spikes.details(series, known))
+    assert np.abs(rest[known]).max() < 0.3 and np.abs(rest[at]).min() > 0.6
+    impulse = np.zeros(65)
+    impulse[32] = 1.0
+    smooth = impulse - sum(spikes.details(impulse))
+    assert smooth.sum() == pytest.approx(1.0) and smooth.argmax() == 32
+
+
+def switching(seed, interval, n=300):
+    """One device's numbers without units: the level drifts ninefold, the unit
+    changes four times, by a factor of eighteen."""
+    r = np.random.default_rng(seed)
+    level = math.log(90) + np.linspace(0, 2.2, n) + 0.3 * np.sin(np.arange(n) / 25)
+    other = math.log(18.016)
+    state = np.where((np.arange(n) // 60) % 2 == 1, other, 0.0)
+    value = np.exp(level + r.normal(0, 0.08, n) - state)
+    none = np.full(n, np.nan)
+    factors = np.empty(n, dtype=object)
+    for i in range(n):
+        factors[i] = [0.0, other]
+    rows = {
+        "factors": factors, "stated": np.where(np.arange(n) < 5, np.exp(state), np.nan), "value": value, "interval_stated": none, "low": value / 1.2 if interval else none,
+        "high": value * 1.2 if interval else none, "level": np.full(n, math.log(90)), "basis": np.array([None] * n, dtype=object), "own": np.ones(n, dtype=bool),
+    } | {c: np.arange(n) for c in ("fact_id", "source_id", "concept_id", "day", "exact_day", "delivery")}
+    return rows, state
+
+
+@pytest.mark.parametrize("interval", [False, True])
+def test_viterbi_decodes_unit_switches_that_single_rows_do_not(monkeypatch, interval):
+    for seed in range(4):
+        rows, state = switching(seed, interval)
+        assert np.abs(np.log(units.decode(rows, infer_bare=not interval)["unit_factor"]) - state).max() < 1e-6
+    lost = 0
+    monkeypatch.setattr(units, "viterbi", lambda emit, stay=0.9, jumps=None: emit.argmax(axis=1))
+    for seed in range(4):
+        rows, state = switching(seed, interval)
+        lost += int((np.abs(np.log(units.decode(rows, infer_bare=not interval)["unit_factor"]) - state) > 1e-6).sum())
+    assert lost > 20
+
+
+def test_viterbi_with_jumps_against_all_paths():
+    r = np.random.default_rng(2)
+    emit, jumps = r.normal(0, 1, (5, 3)), r.normal(0, 1, (5, 3, 3))
+    keep, move = math.log(0.8), math.log(0.1)
+    best = max((sum(emit[t, s] for t, s in enumerate(p)) + sum((keep if p[t - 1] == p[t] else move) + jumps[t, p[t - 1], p[t]] for t in range(1, 5)), p) for p in np.ndindex(*(3,) * 5))
+    assert tuple(units.viterbi(emit, 0.8, jumps)) == best[1]
+
+
+def test_a_hot_day_is_cut_exactly(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(60_000).select(F.lit("a").alias("k"), F.lit(None).cast("date").alias("d"), (F.col("id") * 7).alias("i"))
+    df = df.union(spark.range(20_000).select(F.lit("a"), F.expr("date_add(date'2020-01-01', cast(id / 3 as int))"), F.col("id") + 1_000_000)).union(spark.range(300).select(F.lit(None).cast("string"), F.lit(None).cast("date"), F.col("id") + 5_000_000))
+    out = grouped.chunked(df, ["k"], "d", "i", 4096, halo=24)
+    sizes = out.groupBy("k", "chunk").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("own"), F.min(F.when(F.col("own"), F.col("i"))).alias("lo"), F.max(F.when(F.col("own"), F.col("i"))).alias("hi")).orderBy("k", "chunk").collect()
+    assert max(r.n for r in sizes) <= 4096 + 48 and sum(r.own for r in sizes) == 80_300
+    of_a = [r for r in sizes if r.k]
+    assert all(r.own == 4096 for r in of_a[:-1]) and all(a.hi < b.lo for a, b in zip(of_a, of_a[1:])) and all(r.n - r.own in (24, 48) for r in of_a)
+
+
+def test_chunks_have_exact_context(spark):
+    rows = [("x", date(2020, 1, 1) + timedelta(i // 4), i) for i in range(50)]
+    out = grouped.chunked(spark.createDataFrame(rows, "k string, d date, i int"), ["k"], "d", "i", 10, halo=13).collect()
+    for c in range(5):
+        assert sorted(r.i for r in out if r.chunk == c) == list(range(max(0, c * 10 - 13), min(50, c * 10 + 23)))
+        assert sorted(r.i for r in out if r.chunk == c and r.own) == list(range(c * 10, c * 10 + 10))
 
 
 def test_chunks_bound_groups_and_keep_rows(spark):
     rows = [("hot", date(2020, 1, 1) + timedelta(i // 3), i) for i in range(1000)] + [("hot", None, -1), (None, date(2020, 1, 1), -2)] + [("day", date(2021, 1, 1), 5000 + i) for i in range(400)]
     df = spark.createDataFrame(rows, "k string, d date, i int")
-    out = grouped.chunked(df, ["k"], "d", 100, halo=5)
+    out = grouped.chunked(df, ["k"], "d", "i", 100, halo=5)
     own = out.where("own")
     assert own.count() == len(rows) and own.select("i").distinct().count() == len(rows)
-    assert own.groupBy("k", "chunk").count().agg({"count": "max"}).first()[0] <= 200
+    assert own.groupBy("k", "chunk").count().agg({"count": "max"}).first()[0] <= 100
     assert out.where("not own").count() > 0
 
 

@@ -112,9 +112,37 @@ def test_readings_of_all_claims(spark, data):
     assert seen > 5 and len({r.reading for r in got.values()}) > 20
 
 
+LITERALS = (
+    ("12.03.2024", "2024-03-12"), ("2024-03-12", "2024-03-12"), ("25/03/2024", "2024-03-25"), ("03/25/2024", "2024-03-25"), ("03/04/2024", "2024-04-03 or 2024-03-04"), ("12-3-2024", "2024-03-12"),
+    ("04/04/2024", "2024-04-04"), ("12 марта 2024", "2024-03-12"), ("March 12, 2024", "2024-03-12"), ("2 травня 2024", "2024-05-02"), ("05.2024", "2024-05"), ("травень 2024", "2024-05"),
+    ("2024", "2024"), ("31.02.2024", ""), ("13/13/2024", ""), ("1.2.24", "2024-02-01"), ("seen 2024-07-01, 10:30", "2024-07-01"), ("2024 June 5", "2024-06-05"), ("soon", ""), ("", ""), (None, ""),
+    ("12 березня 2024 р.", "2024-03-12"), ("12 March 2024", "2024-03-12"), ("02.2024", "2024-02"), ("Fe 5.1", ""), ("１２.０３.２０２４", "2024-03-12"), ("Mayor 2024", "2024"), ("mayor 5, 2024", ""),
+    ("1.2.27", "2027-02-01"), ("1.2.28", "1928-02-01"), ("3rd June, 2020", "2020-06-03"), ("2024-13-01 05.2024", ""), ("5 of may 2020", "2020-05"), ("1899", ""), ("12.03.20245", ""), ("Mаrch 12, 2024", "2024-03-12"),
+    ("10:30 may 2024", "2024-05"), ("12.03.2024 10:30", "2024-03-12"), ("2024, 10:30", "2024"), ("2024 10:30", ""),
+)
+
+
 def test_readings_of_literals(spark):
-    df = spark.createDataFrame(catalogue.LITERALS, "raw string, expected string")
-    assert df.select("expected", D.format_alternatives(D.parse_date(F.col("raw"))).alias("r")).where("r <> expected or r is null").collect() == []
+    df = spark.createDataFrame(LITERALS, "raw string, expected string")
+    got = df.select("raw", "expected", D.format_alternatives(D.parse_date(F.col("raw"), 27)).alias("r")).collect()
+    assert [(r.raw, r.r) for r in got] == [(r.raw, r.expected) for r in got]
+
+
+def test_default_pivot_is_next_year(spark):
+    year = date.today().year % 100
+    df = spark.createDataFrame([(f"1.2.{year + 1:02d}",), (f"1.2.{year + 2:02d}",)], "raw string")
+    assert [r.r for r in df.select(D.format_alternatives(D.parse_date(F.col("raw"))).alias("r")).collect()] == [f"20{year + 1:02d}-02-01", f"19{year + 2:02d}-02-01"]
+
+
+PATHS = [("2025-12-08bw.jpg", "2025-12-08"), ("a/2011.07.23 15.31.53 004.jpg", "2011-07-23"), ("a/20240312.pdf", "2024-03-12"), ("march 2021/scan.pdf", "2021-03"), ("x/y.pdf", ""), ("2024.13.01 2024-02-03/z.pdf", "2024-02-03"), ("2015/scan_00024.PDF", "2015"), ("3/4/5.pdf", ""), (None, ""), ("", "")]
+
+
+def test_dates_in_paths_and_their_consensus(spark):
+    df = spark.createDataFrame(PATHS, "p string, expected string")
+    got = df.select("p", "expected", D.format_alternatives(D.dates_in_path(F.col("p"))).alias("r")).collect()
+    assert [(r.p, r.r) for r in got] == [(r.p, r.expected) for r in got]
+    pairs = spark.createDataFrame([("a", "x/2020-01-02.pdf"), ("a", "y/none.pdf"), ("b", "2020-01-02.pdf"), ("b", "2020-01-03.pdf"), ("c", "n.pdf")], "k string, p string")
+    assert [(r.k, r.d) for r in D.consensus(pairs, "k", "p").select("k", D.format_alternatives(F.col("alternatives")).alias("d")).collect()] == [("a", "2020-01-02")]
 
 
 def test_classify_against_every_day(spark):

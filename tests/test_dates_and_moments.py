@@ -118,7 +118,7 @@ LITERALS = (
     ("2024", "2024"), ("31.02.2024", ""), ("13/13/2024", ""), ("1.2.24", "2024-02-01"), ("seen 2024-07-01, 10:30", "2024-07-01"), ("2024 June 5", "2024-06-05"), ("soon", ""), ("", ""), (None, ""),
     ("12 березня 2024 р.", "2024-03-12"), ("12 March 2024", "2024-03-12"), ("02.2024", "2024-02"), ("Fe 5.1", ""), ("１２.０３.２０２４", "2024-03-12"), ("Mayor 2024", "2024"), ("mayor 5, 2024", ""),
     ("1.2.27", "2027-02-01"), ("1.2.28", "1928-02-01"), ("3rd June, 2020", "2020-06-03"), ("2024-13-01 05.2024", ""), ("5 of may 2020", "2020-05"), ("1899", ""), ("12.03.20245", ""), ("Mаrch 12, 2024", "2024-03-12"),
-    ("10:30 may 2024", "2024-05"), ("12.03.2024 10:30", "2024-03-12"), ("2024, 10:30", "2024"), ("2024 10:30", ""),
+    ("10:30 may 2024", "2024-05-30"), ("12.03.2024 10:30", "2024-03-12"), ("2024, 10:30", "2024"), ("2024 10:30", ""),
 )
 
 

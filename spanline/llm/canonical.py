@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,7 +38,7 @@ class Trie:
 
     def __init__(self, terms: Iterable[tuple[str, str]]) -> None:
         self.root: dict = {}
-        self.size = 0
+        self.longest = 0
         for concept, label in terms:
             words = [w for w in re.split(r"[\s,]+", plain_text(label).casefold()) if w]
             turned = {tuple(words[i:] + words[:i]) for i in range(len(words))}
@@ -52,7 +52,7 @@ class Trie:
         for c in key:
             node = node.setdefault(c, {})
         node.setdefault("", set()).add((concept, label, len(key)))
-        self.size += 1
+        self.longest = max(self.longest, len(key))
 
     def search(self, query: str, most: int) -> list[tuple[int, str, str]]:
         """All entries within ``most`` edits (insert, drop, change, swap neighbours)
@@ -62,6 +62,8 @@ class Trie:
         i characters of the query can be read with j edits.
         """
         n = len(query)
+        if not n or n > self.longest + most:
+            return []
         masks: dict[str, int] = defaultdict(int)
         for i, c in enumerate(query):
             masks[c] |= 1 << i
@@ -132,22 +134,35 @@ def forms(value: str) -> list[str]:
     return [x for x in dict.fromkeys(out) if x]
 
 
-def resolve(trie: Trie, value: str | None) -> str:
-    """The concept a value means, or ``unmatched``."""
-    if not value or not value.strip():
-        return UNMATCHED
+def keys_of(value: str) -> list[str]:
+    """The keys a value is looked up by, in either script."""
     tables = script_tables()
     shapes = forms(value)
     keys = dict.fromkeys(squash(x) for x in shapes)
     for x in shapes:
         for s in ("LATIN", "CYRILLIC"):
             keys.setdefault(squash("".join(tables[s].get(c, c) for c in x)))
+    return [k for k in keys if k]
+
+
+def entries(trie: Trie, value: str | None) -> list[tuple[int, str, str]]:
+    """All entries near a value, by any of its keys: ``(distance, concept, label)``,
+    nearest first. Keys of one and two letters must be equal to an entry."""
+    found: dict[tuple[str, str], int] = {}
+    for key in keys_of(value) if value else ():
+        for d, concept, label in trie.search(key, distance_for(len(key))):
+            found[concept, label] = min(d, found.get((concept, label), d))
+    return sorted((d, concept, label) for (concept, label), d in found.items())
+
+
+def resolve(trie: Trie, value: str | None) -> str:
+    """The concept a value means, or ``unmatched``."""
+    if not value or not value.strip():
+        return UNMATCHED
     best: dict[int, set[str]] = defaultdict(set)
-    for key in keys:
-        most = min(distance_for(len(key)), min(best, default=3))
-        for d, concept, _ in trie.search(key, most) if 2 < len(key) < 200 else ():
-            best[d].add(concept)
-    cut = [squash(x) for x in shapes if x.endswith(".") and len(squash(x)) >= 4]
+    for d, concept, _ in entries(trie, value):
+        best[d].add(concept)
+    cut = [squash(x) for x in forms(value) if x.endswith(".") and len(squash(x)) >= 4]
     if 0 not in best and cut:
         ends = {e for key in cut for e in trie.complete(key)}
         concepts = {c for c, _, _ in ends}
@@ -162,6 +177,30 @@ def resolve(trie: Trie, value: str | None) -> str:
     return next(iter(least)) if len(least) == 1 else UNMATCHED
 
 
+def _looked_up(df: DataFrame, value: str, terms: DataFrame, kind: str, look_up: Callable[[Trie, pd.Series], pd.DataFrame], schema: str) -> DataFrame:
+    """``look_up`` over the distinct values, which are combined before they move."""
+    shared = df.sparkSession.sparkContext.broadcast(canonical_terms(terms, kind))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trie = Trie(shared.value)
+        for f in frames:
+            yield look_up(trie, f["_v"])
+
+    distinct = spread(df.select(F.col(value).alias("_v")).where(F.col(value).isNotNull()).distinct(), "_v")
+    return distinct.mapInPandas(run, schema)
+
+
+def near_entries(df: DataFrame, value: str, terms: DataFrame, kind: str) -> DataFrame:
+    """``value, concept_id, term_label, distance``: for each distinct value all
+    entries within the distance its length allows, ties included. Values without
+    any, null and empty ones have no rows."""
+    def look_up(trie: Trie, values: pd.Series) -> pd.DataFrame:
+        rows = [(v, c, t, d) for v in values for d, c, t in entries(trie, v)]
+        return pd.DataFrame(rows, columns=["value", "concept_id", "term_label", "distance"]).astype({"distance": "int64"})
+
+    return _looked_up(df, value, terms, kind, look_up, "value string, concept_id string, term_label string, distance long")
+
+
 def map_to_list(df: DataFrame, value: str, terms: DataFrame, kind: str, out: str = "concept_id") -> DataFrame:
     """``df`` with the concept of ``terms`` each ``value`` means, or ``unmatched``.
 
@@ -172,19 +211,14 @@ def map_to_list(df: DataFrame, value: str, terms: DataFrame, kind: str, out: str
     tree. Distinct values are looked up once and joined back.
 
     Defined results: null, empty and tied values are ``unmatched``; values of
-    any length are read whole (beyond 200 letters nothing can be near); repeated
+    any length are read whole; values of one or two letters must equal an entry; repeated
     rows stay repeated; a column named as ``out`` in ``df`` is replaced.
     """
-    shared = df.sparkSession.sparkContext.broadcast(canonical_terms(terms, kind))
-
-    def look_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = Trie(shared.value)
-        for f in frames:
-            yield pd.DataFrame({"_v": f["_v"], out: [resolve(trie, v) for v in f["_v"]]})
+    def look_up(trie: Trie, values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"_v": values, out: [resolve(trie, v) for v in values]})
 
     df = df.drop(out)
-    distinct = spread(df.select(F.col(value).alias("_v")).where(F.col(value).isNotNull()), "_v").distinct()
-    found = distinct.mapInPandas(look_up, f"_v string, {out} string")
+    found = _looked_up(df, value, terms, kind, look_up, f"_v string, {out} string")
     return df.join(found, df[value] == found["_v"], "left").drop("_v").withColumn(out, F.coalesce(out, F.lit(UNMATCHED)))
 
 

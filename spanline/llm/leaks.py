@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread, written
@@ -22,8 +22,8 @@ RUN, GAP, DRIFT = 3, 4, 2
 #: Part of an item's words a document must hold. Half by definition; words that
 #: were changed inside a copied half cost it up to a tenth of the half.
 LEAST_PART = 0.45
-#: Items whose fingerprints are sent to every executor; larger sets are joined.
-MOST_BROADCAST = 20_000
+#: Items, and bytes of their texts, that are sent to every executor; larger sets are joined.
+MOST_BROADCAST, MOST_BYTES = 20_000, 16 * 2**20
 WORD = re.compile(r"[぀-ヿ㐀-鿿฀-๿]|[^\W_぀-ヿ㐀-鿿฀-๿]+")
 
 
@@ -45,36 +45,37 @@ def winnow(hashes: list[int]) -> set[int]:
 
 
 def shared_part(item: list[str], doc: list[str]) -> float:
-    """Part of the item's words in the best chain of exact runs in item order."""
+    """Part of the item's words in the best chain of exact runs in item order.
+
+    Runs of one diagonal follow one another, so of each diagonal only its last
+    runs can be continued: a run is held against those few, not against all."""
     at = defaultdict(list)
     for i in range(len(item) - RUN + 1):
         at[tuple(item[i : i + RUN])].append(i)
-    runs, inside = [], set()
+    ends: dict[int, int] = {}
+    chains: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # by diagonal: start and end in the item, best score
+    best = 0
     for j in range(len(doc) - RUN + 1):
         for i in at.get(tuple(doc[j : j + RUN]), ()):
-            fresh = (i - 1, j - 1) not in inside
-            inside.add((i, j))
-            if fresh:
-                n = RUN
-                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n]:
-                    n += 1
-                runs.append((j, i, n))
-    best: list[int] = []
-    reach = len(item) + GAP
-    for x, (j, i, n) in enumerate(runs):
-        score = n
-        for y in range(x - 1, -1, -1):
-            j0, i0, n0 = runs[y]
-            if j - j0 > reach:
-                break
-            if i0 >= i or j0 >= j:
-                continue
-            both = max(0, i0 + n0 - i, j0 + n0 - j)
-            gap_item, gap_doc = i - i0 - n0, j - j0 - n0
-            if both < n and gap_item <= GAP and gap_doc <= GAP and abs(gap_item - gap_doc) <= DRIFT:
-                score = max(score, best[y] + n - both)
-        best.append(score)
-    return max(best, default=0) / max(1, len(item))
+            diagonal = j - i
+            if ends.get(diagonal, -1) > i:
+                continue  # within the run that is known
+            n = RUN
+            while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n]:
+                n += 1
+            ends[diagonal] = i + n - RUN + 1
+            score = n
+            for d in range(diagonal - DRIFT, diagonal + DRIFT + 1):
+                for i0, end0, before in reversed(chains[d]):
+                    gap_item, gap_doc = i - end0, j - (end0 + d)
+                    if gap_item > GAP or gap_doc > GAP:
+                        break
+                    both = max(0, -gap_item, -gap_doc)
+                    if i0 < i and i0 + d < j and both < n:
+                        score = max(score, before + n - both)
+            chains[diagonal].append((i, i + n, score))
+            best = max(best, score)
+    return best / max(1, len(item))
 
 
 def _fingerprints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,8 +134,9 @@ def _by_broadcast(documents: DataFrame, items: dict[str, list[int]]) -> DataFram
 
 def _by_join(documents: DataFrame, items: DataFrame) -> DataFrame:
     """The same for test sets of any size: fingerprints are joined by hash."""
-    named = written(items.withColumn("text_id", F.min("item_id").over(Window.partitionBy("text"))), "leak-items")
-    texts = named.where(F.col("item_id") == F.col("text_id")).select("item_id", "text").distinct()
+    named = written(items.withColumn("text_id", F.xxhash64("text")), "leak-items")
+    # equal hashes of different texts stay apart by the text
+    texts = named.select(F.col("text_id").alias("item_id"), "text").distinct()
     prints = texts.mapInPandas(_item_grams, "item_id long, print long")
     found = spread(documents.mapInPandas(_fingerprints, "id long, print long"), "print").join(prints, "print")
     pairs = found.select("id", "item_id").distinct()
@@ -147,14 +149,15 @@ def _by_join(documents: DataFrame, items: DataFrame) -> DataFrame:
             for d, i in zip(f["doc_text"], f["item_text"], strict=True):
                 doc, item = words(d), words(i)
                 part.append(shared_part(item, doc) if _covered(item, _runs(doc)) >= LEAST_PART else 0.0)
-            out = pd.DataFrame({"doc_id": f["id"], "item_id": f["item_id"], "part": part})
+            out = pd.DataFrame({"doc_id": f["id"], "text_id": f["item_id"], "item_text": f["item_text"], "part": part})
             yield out[out["part"] >= LEAST_PART]
 
-    leaks = rows.mapInPandas(extend, OUT).withColumnRenamed("item_id", "text_id")
-    return leaks.join(named.select("item_id", "text_id").distinct(), "text_id").select("doc_id", "item_id", "part")
+    leaks = rows.mapInPandas(extend, "doc_id long, text_id long, item_text string, part double")
+    same = (F.col("text_id") == F.col("_k")) & (F.col("item_text") == F.col("text"))
+    return leaks.join(named.select(F.col("text_id").alias("_k"), "item_id", "text").distinct(), same).select("doc_id", "item_id", "part")
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, most_broadcast: int = MOST_BROADCAST, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Documents that hold at least half of an item: ``doc_id, item_id, part``.
 
     Method: winnowing. Documents keep the least hash of every window of
@@ -164,19 +167,19 @@ def find_leaks(documents: DataFrame, items: DataFrame, most_broadcast: int = MOS
     exact runs in item order with small gaps; how many items share a hit does
     not matter.
 
-    Up to ``most_broadcast`` items (counted first) the fingerprints of the items
-    go to every executor and documents are read once without a shuffle; beyond,
-    fingerprints are joined. Defined results: null or empty texts leak nothing;
+    Up to ``most_broadcast`` items of ``most_bytes`` in all (counted and summed
+    first) the items go to every executor and documents are read once without a
+    shuffle; beyond either, fingerprints are joined. Both ways give the same rows. Defined results: null or empty texts leak nothing;
     equal items leak together, looked up once; repeated documents each give their rows; items
     under ``GRAM`` words can only be met by documents equal to them; extra
     columns are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull())
     tests = items.select(F.col("item_id").cast("long"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    rows = tests.limit(most_broadcast + 1).collect()
-    if len(rows) <= most_broadcast:
+    size = tests.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= most_broadcast and size["bytes"] <= most_bytes:
         texts: dict[str, list[int]] = defaultdict(list)
-        for item_id, text in rows:
+        for item_id, text in tests.collect():
             texts[text].append(item_id)
         found = _by_broadcast(docs, dict(texts))
     else:

@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import canonical_terms
@@ -56,7 +56,9 @@ def width_table() -> dict[str, str]:
                 plain = unicodedata.normalize("NFKC", c)
                 if plain != c and not plain.startswith(" "):
                     pairs[c] = plain
-            elif form.count(" ") == 1 and unicodedata.normalize("NFC", c) == c:
+            elif form and unicodedata.normalize("NFC", c) != c:
+                pairs[c] = unicodedata.normalize("NFC", c)  # another sign for the same letter
+            elif form.count(" ") == 1:
                 base, mark = (chr(int(x, 16)) for x in form.split())
                 for b in (base, unicodedata.normalize("NFD", base)) if unicodedata.combining(mark) else ():
                     pairs[b + mark] = c
@@ -98,21 +100,42 @@ def script_of(c: str) -> str:
 class Transducer:
     """Longest-match transducer over grapheme clusters.
 
-    A tree of the table's keys is walked from each cluster on; the longest key
-    that ends there is written as its value, anything else as it is. Letters
-    are then gathered into runs, whose script is the one most letters have, and
-    strangers in a run are written in that script; all in one pass.
+    A text falls into clusters; from each on, a tree of the table's keys is
+    walked and the longest key that ends there is written as its value. What a
+    cluster becomes has its marks in their canonical order and composed. Letters
+    gather into runs as they are written; a run is written in the script most of
+    its letters have, if the others have look-alikes there. ``terms`` are listed
+    Latin terms: a text whose letters all look Latin and that then is such a term
+    is that term.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, terms: frozenset[str] = frozenset()) -> None:
         self.root: dict = {}
         for key, value in width_table().items():
             node = self.root
             for c in key:
                 node = node.setdefault(c, {})
             node[""] = value
-        self.starts = frozenset(self.root)
         self.tables = script_tables()
+        self.terms = terms
+        self.cluster = lru_cache(maxsize=50_000)(self._cluster)
+
+    def _cluster(self, cluster: str) -> str:
+        """What one cluster is written as."""
+        out: list[str] = []
+        i, n = 0, len(cluster)
+        while i < n:
+            node, value, end, j = self.root, cluster[i], i + 1, i
+            while j < n and cluster[j] in node:
+                node = node[cluster[j]]
+                j += 1
+                if "" in node:
+                    value, end = node[""], j
+            out.append(value)
+            i = end
+        made = "".join(out)
+        # rewritten parts may compose, or need their marks in order
+        return made if len(made) < 2 else unicodedata.normalize("NFC", made)
 
     def _run(self, run: list[str]) -> str:
         scripts = [script_of(c) for c in run]
@@ -125,107 +148,110 @@ class Transducer:
             return all(c in self.tables[s] for c in strangers), counts[s], s == "CYRILLIC"
 
         table = self.tables[max(counts, key=rank)]
-        return "".join(table.get(c, c) for c in run)
+        return unicodedata.normalize("NFC", "".join(table.get(c, c) for c in run))
 
     def __call__(self, text: str) -> str:
         if text.isascii():
             return text
         out: list[str] = []
         run: list[str] = []
-        i, n = 0, len(text)
-        while i < n:
-            node, value, end, j = self.root, None, i, i
-            if text[i] in self.starts:
-                while j < n and text[j] in node:
-                    node = node[text[j]]
-                    j += 1
-                    if "" in node:
-                        value, end = node[""], j
-            if value is None:
-                value, end = text[i], i + 1
-            # a mark after a rewritten letter may compose with it
-            while value and end < n and (both := value[-1] + text[end]) != text[end - 1 : end + 1] and unicodedata.combining(text[end]) and len(made := unicodedata.normalize("NFC", both)) == 1:
-                value, end = value[:-1] + made, end + 1
-            for c in value:
+        latin = bool(self.terms)
+        for cluster in CLUSTER.findall(text):
+            for c in cluster if cluster.isascii() else self.cluster(cluster):
                 if c.isalpha() or unicodedata.combining(c):
                     run.append(c)
+                    latin = latin and (c in self.tables["LATIN"] or not c.isalpha())
                 else:
                     if run:
                         out.append(self._run(run))
                         run = []
                     out.append(c)
-            i = end
         if run:
             out.append(self._run(run))
-        return "".join(out)
+        made = MICRO.sub("µ", "".join(out)) if "μ" in text else "".join(out)
+        if latin:
+            as_latin = "".join(self.tables["LATIN"].get(c, c) for c in made)
+            return as_latin if as_latin.casefold() in self.terms else made
+        return made
 
 
-#: JVM-side test for text that the transducer may change: anything outside the
-#: letters and marks of plain writing, or two scripts side by side.
-SUSPECT = (
-    r"[^\x00-\x7FÀ-ÖØ-öø-žЀ-ӿ°«»„“”‘’—–¬§№…µ×±]|[A-Za-zÀ-ÖØ-öø-ž][­]?[Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ÖØ-öø-ž]"
-)
+CLUSTER = regex.compile(r"\X")
+#: Beyond ASCII, what stands in ordinary writing and no key of the table begins with.
+ORDINARY = "À-ÖØ-öø-žЀ-ӿ°«»„“”‘’—–¬§№…µ×±"
 
 
 @lru_cache(maxsize=1)
-def transducer() -> Transducer:
+def suspect() -> str:
+    """JVM-side test for text that the transducer may change: anything outside
+    ordinary writing, a key of the table inside it, a Greek letter, or letters of
+    two scripts in one run."""
+    ordinary = regex.compile(f"[{ORDINARY}]")
+    keys = {k for k in width_table() if len(k) == 1 and ordinary.match(k)}
+    changed = {c for c in map(chr, range(0x80, 0x530)) if ordinary.match(c) and unicodedata.normalize("NFC", c) != c}
+    inside = "".join(sorted(keys | changed))
+    latin, other = "[A-Za-zÀ-ÖØ-öø-ž]", "[Ѐ-ӿ]"
+    rules = [f"[^\\x00-\\x7F{ORDINARY}]", f"{latin}{other}|{other}{latin}"]
+    return "|".join([*rules, f"[{inside}]"] if inside else rules)
+
+
+@lru_cache(maxsize=4)
+def transducer(terms: frozenset[str] = frozenset()) -> Transducer:
     """The compiled transducer, one per worker."""
-    return Transducer()
+    return Transducer(terms)
 
 
-def plain_text(text: str | None) -> str | None:
+def plain_text(text: str | None, terms: frozenset[str] = frozenset()) -> str | None:
     """``text`` in its one consistent form."""
-    if text is None or text.isascii():
-        return text
-    return MICRO.sub("µ", transducer()(MICRO.sub("µ", text))) if "μ" in text else transducer()(text)
+    return text if text is None or text.isascii() else transducer(terms)(text)
 
 
-def as_latin_term(label: str, terms: frozenset[str]) -> str | None:
-    """The listed Latin term a label without Latin letters looks like, if any."""
-    letters = [c for c in label if c.isalpha()]
-    if not letters or any(script_of(c) == "LATIN" for c in letters):
-        return None
-    table = script_tables()["LATIN"]
-    if all(c in table for c in letters):
-        latin = "".join(table.get(c, c) for c in label)
-        return latin if latin.casefold() in terms else None
-    return None
+def latin_terms(terms: DataFrame | None) -> frozenset[str]:
+    """The listed terms in Latin letters, case-folded."""
+    if terms is None:
+        return frozenset()
+    return frozenset(t.casefold() for kind in ("analyte", "specialty") for _, t in canonical_terms(terms, kind) if t.isascii())
 
 
-def normalise_text(df: DataFrame, column: str, out: str = "plain_text") -> DataFrame:
+def _changeable(column: str, latin: frozenset[str]) -> Column:
+    """JVM-side: whether the transducer may change the text. No row it could
+    change is passed by."""
+    out = F.col(column).rlike(suspect())
+    if latin:
+        table = script_tables()["LATIN"]
+        seen = F.lower(F.translate(F.col(column), "".join(table), "".join(table.values())))
+        out = out | (seen.isin(sorted(latin)) & (seen != F.lower(F.col(column))))
+    return out
+
+
+def normalise_text(df: DataFrame, column: str, out: str = "plain_text", terms: DataFrame | None = None) -> DataFrame:
     """``df`` with ``column`` in its one consistent form in ``out``.
 
-    Rows that the JVM-side test clears are copied without reaching Python.
-    Null stays null, empty stays empty; texts of any length are read whole.
+    Method: a compiled longest-match transducer over grapheme clusters, in one
+    pass. With ``terms`` a text that as a whole looks like a listed Latin term is
+    that term. Rows that the JVM-side test clears are copied without reaching
+    Python. Null stays null, empty stays empty; texts of any length are read whole.
     """
-    fixed = F.pandas_udf(_udf, "string")
-    return df.withColumn(out, F.when(F.col(column).rlike(SUSPECT), fixed(F.when(F.col(column).rlike(SUSPECT), F.col(column)))).otherwise(F.col(column)))
+    latin = latin_terms(terms)
 
+    @F.pandas_udf("string")
+    def fixed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: plain_text(t, latin), na_action="ignore")
 
-def _udf(texts: pd.Series) -> pd.Series:
-    return texts.map(plain_text, na_action="ignore")
+    test = _changeable(column, latin)
+    return df.withColumn(out, F.when(test, fixed(F.when(test, F.col(column)))).otherwise(F.col(column)))
 
 
 def changed_rows(df: DataFrame, key: str, column: str, terms: DataFrame | None = None) -> DataFrame:
     """Keys of rows whose text is not in its consistent form, as ``row_id``.
 
-    With ``terms`` a text that as a whole looks like a listed Latin term without
-    being in Latin letters counts too. Rows the JVM-side tests clear never
-    reach Python; there is no shuffle. Null and empty texts never count.
+    Rows the JVM-side test clears never reach Python; there is no shuffle. Null
+    and empty texts never count; null keys are left out; repeated rows stay repeated.
     """
-    latin: frozenset[str] = frozenset()
-    if terms is not None:
-        latin = frozenset(t.casefold() for kind in ("analyte", "specialty") for _, t in canonical_terms(terms, kind) if t.isascii())
-    suspect = F.col(column).rlike(SUSPECT)
-    if latin:
-        table = script_tables()["LATIN"]
-        seen = F.lower(F.translate(F.col(column), "".join(table), "".join(table.values())))
-        suspect = suspect | (seen.isin(sorted(latin)) & (seen != F.lower(F.col(column))))
+    latin = latin_terms(terms)
 
     def test(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            keep = [plain_text(t) != t or bool(latin and as_latin_term(t, latin)) for t in f["_t"]]
-            yield f.loc[keep, ["row_id"]]
+            yield f.loc[[plain_text(t, latin) != t for t in f["_t"]], ["row_id"]]
 
-    rows = df.where(F.col(key).isNotNull() & suspect).select(F.col(key).cast("long").alias("row_id"), F.col(column).alias("_t"))
+    rows = df.where(F.col(key).isNotNull() & _changeable(column, latin)).select(F.col(key).cast("long").alias("row_id"), F.col(column).alias("_t"))
     return rows.mapInPandas(test, "row_id long")

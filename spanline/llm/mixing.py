@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import importlib.util
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,21 +17,22 @@ from ..session import written
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Sources that a target table may name; it is refused beyond.
 MOST_SOURCES = 10_000
-#: Slices of a source's shuffled order; prefix sums run over slices, then in them.
-SLICES = 4096
+# Fixed value: the pattern that splits text before the merges of the public
+# byte-level rank files.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Rows of a slice of a source's shuffled order, about; prefix sums run over
+#: slices, then inside them.
+SLICE_ROWS = 50_000
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """The tokenizer at ``path``, loaded once a worker."""
+def encoder(path: str, pattern: str = PATTERN):
+    """The tokenizer whose ranks lie at ``path``, loaded once a worker."""
     import tiktoken
 
-    spec = importlib.util.spec_from_file_location("tokenizer_files", os.path.join(os.path.dirname(os.path.realpath(path)), "__init__.py"))
-    files = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(files)
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def with_tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -47,23 +47,6 @@ def with_tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return documents.select("doc_id", "source", "text").mapInPandas(count, "doc_id long, source string, tokens long")
 
 
-def source_sizes(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Per target source: ``source, target_share, max_repeats, tokens, total, reachable``.
-
-    ``total`` is the size of all documents. A source without documents has size
-    0; documents of sources without a target count only in the total; a target
-    of 0 is always reachable; null sources have no target.
-    """
-    sizes = with_tokens(documents, tokenizer).groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    sizes = written(sizes, "mix-sizes")
-    total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total")).first()["total"]
-    sizes = sizes.withColumnRenamed("source", "_s")
-    targets = targets.select("source", "target_share", "max_repeats").where(F.col("source").isNotNull())
-    rows = targets.join(sizes, F.col("source") == F.col("_s"), "left").drop("_s")
-    rows = rows.withColumns({"tokens": F.coalesce("tokens", F.lit(0)), "total": F.lit(total)})
-    return rows.withColumn("reachable", F.col("tokens") * F.col("max_repeats") >= F.col("target_share") * F.col("total")).select("source", "target_share", "max_repeats", "tokens", "total", "reachable")
-
-
 def _last_time(rows: list, budget: float) -> float:
     """Virtual time at which the tokens admitted so far reach the budget; sources
     that have run out admit no more."""
@@ -86,37 +69,66 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, see
     A source that has been used ``max_repeats`` times is out and the others go
     on in proportion, so the budget is met while any source lasts.
 
-    Cumulative sums run in two levels over slices of the shuffled order, so a
-    source of a third of all rows is many windows; the end of the mix follows
-    from the sources' sizes alone. Defined results: documents without a target
-    are left out; empty texts have size 0 and come along for free; repeated
-    document ids are separate rows.
+    Cumulative sums run in two levels over slices of the shuffled order, as many
+    as a source's counted documents need, so a source of a third of all rows is
+    many windows; the end of the mix follows from the sources' sizes alone.
+    Defined results: documents without a target are left out; empty texts have
+    size 0 and come along for free; repeated document ids are separate rows.
     """
-    sized = written(with_tokens(documents, tokenizer), "mix-tokens")
-    sizes = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    plan = targets.select("source", "target_share", "max_repeats").where(F.col("source").isNotNull() & (F.col("target_share") > 0)).join(sizes, "source").select("source", "target_share", "max_repeats", "tokens").limit(MOST_SOURCES + 1).collect()
+    return queued(documents, targets, budget, seed, tokenizer).orderBy("finish", "source", "doc_id")
+
+
+def queued(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 7, tokenizer: str = TOKENIZER) -> DataFrame:
+    """The rows of the mix with their finish times, in no order."""
+    return _queued(written(with_tokens(documents, tokenizer), "mix-tokens"), targets, budget, seed)
+
+
+def _queued(sized: DataFrame, targets: DataFrame, budget: int | None, seed: int = 7) -> DataFrame:
+    sizes = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
+    plan = targets.select("source", "target_share", "max_repeats").where(F.col("source").isNotNull() & (F.col("target_share") > 0)).join(sizes, "source").limit(MOST_SOURCES + 1).collect()
     if len(plan) > MOST_SOURCES:
         raise ValueError("more targets than MOST_SOURCES")
     budget = sized.agg(F.sum("tokens").alias("n")).first()["n"] or 0 if budget is None else budget
     last = _last_time(plan, budget)
-    spark = documents.sparkSession
-    passes = [(r["source"], float(r["target_share"]), k, float((k - 1) * r["tokens"])) for r in plan for k in range(1, r["max_repeats"] + 1) if (k - 1) * r["tokens"] / r["target_share"] <= last]
-    passes = spark.createDataFrame(passes, "source string, share double, repeat int, start double")
-    # At most MOST_SOURCES times the repeats: bounded by the checked target table.
-    rows = sized.join(F.broadcast(passes), "source").withColumn("_h", F.xxhash64(F.lit(seed), "repeat", "doc_id"))
-    rows = rows.withColumn("_slice", F.shiftrightunsigned("_h", 52).cast("int"))
+    spark = sized.sparkSession
+    # One row a source, at most MOST_SOURCES; repetitions are spread on the executors.
+    schema = "source string, share double, repeats int, size long, slices int"
+    by_source = spark.createDataFrame([(r["source"], float(r["target_share"]), r["max_repeats"], r["tokens"], max(1, -(-r["rows"] // SLICE_ROWS))) for r in plan], schema)
+    needed = F.least(F.col("repeats"), F.floor(F.lit(last) * F.col("share") / F.greatest("size", F.lit(1))).cast("int") + 1)
+    rows = sized.join(F.broadcast(by_source), "source").where(F.col("repeats") > 0).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.greatest(needed, F.lit(1)))))
+    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "repeat", "doc_id"))
+    # equal parts of the hash's range, in its order
+    rows = rows.withColumn("_slice", F.floor((F.col("_h").cast("double") / 2.0**64 + 0.5) * F.col("slices")).cast("int"))
     slices = rows.groupBy("source", "repeat", "_slice").agg(F.sum("tokens").alias("_n"))
-    # A window over at most SLICES rows of each source and repetition.
+    # A window over the slices of one source and repetition.
     slices = slices.withColumn("_base", F.sum("_n").over(Window.partitionBy("source", "repeat").orderBy("_slice")) - F.col("_n")).drop("_n")
     within = F.sum("tokens").over(Window.partitionBy("source", "repeat", "_slice").orderBy("_h", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.join(slices, ["source", "repeat", "_slice"]).withColumn("finish", (F.col("start") + F.col("_base") + within) / F.col("share"))
-    return rows.where(F.col("finish") <= last).select("doc_id", "source", "repeat", "tokens", "finish").orderBy("finish", "source", "doc_id")
+    rows = rows.withColumn("_within", within).join(slices, ["source", "repeat", "_slice"])
+    rows = rows.withColumn("finish", ((F.col("repeat") - 1) * F.col("size") + F.col("_base") + F.col("_within")) / F.col("share"))
+    return rows.where(F.col("finish") <= last).select("doc_id", "source", "repeat", "tokens", "finish")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """``source, target_share, tokens, actual_share`` of a mix."""
-    used = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    all_ = used.agg(F.sum("tokens").alias("total"))
-    rows = targets.select("source", "target_share").join(used, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
-    total = all_.first()["total"] or 0
-    return rows.withColumn("actual_share", F.col("tokens") / F.lit(float(total)) if total else F.lit(0.0))
+    """``source, target_share, max_repeats, tokens, repeats, actual_share`` of a mix: what
+    it holds of each source, and how often it goes through it. The mix is read once."""
+    used = written(mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("repeat").alias("repeats")), "mix-used")
+    rows = targets.where(F.col("source").isNotNull()).select("source", "target_share", "max_repeats").join(used, "source", "left")
+    total = float(used.agg(F.sum("tokens").alias("total")).first()["total"] or 0)
+    rows = rows.withColumns({"tokens": F.coalesce("tokens", F.lit(0)), "repeats": F.coalesce("repeats", F.lit(0))})
+    return rows.withColumn("actual_share", F.col("tokens") / F.lit(total) if total else F.lit(0.0))
+
+
+def short_sources(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """``source, target_share, actual_share`` of the sources that cannot reach
+    their target of the size of all documents.
+
+    The mix to that size is queued; a source is short if it has run out there,
+    all its repetitions being in the mix, below its share of the size. Of a
+    source with a share and no documents at all nothing is in the mix. Defined
+    results: a share of 0 is always reached; with no documents nothing is short."""
+    sized = written(with_tokens(documents, tokenizer), "mix-tokens")
+    sizes = sized.groupBy(F.col("source").alias("_s")).agg(F.sum("tokens").alias("size"))
+    total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
+    rows = shares(_queued(sized, targets, total), targets).join(sizes, F.col("source") == F.col("_s"), "left")
+    out = F.col("tokens") == F.coalesce("size", F.lit(0)) * F.greatest("max_repeats", F.lit(0))
+    return rows.where(out & (F.col("tokens") < F.col("target_share") * F.lit(total))).select("source", "target_share", "actual_share")

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from .canonical import map_to_list, not_listed
+from .canonical import map_to_list, near_entries, not_listed
 from .details import find_details, redact
 from .leaks import find_leaks
 from .lookalikes import changed_rows, normalise_text
-from .mixing import mix, shares, source_sizes
+from .mixing import mix, queued, shares, short_sources
 from .scans import paragraphs, scan_noise
 from .sentences import split_sentences
 
@@ -25,7 +25,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every label in its one consistent form."""
-    return normalise_text(load(spark, sf_dir, "lab_facts").select("fact_id", "raw_label"), "raw_label").select("fact_id", "plain_text")
+    return normalise_text(load(spark, sf_dir, "lab_facts").select("fact_id", "raw_label"), "raw_label", terms=load(spark, sf_dir, "concept_terms")).select("fact_id", "plain_text")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labs.union(events).distinct()
 
 
+def p5_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries of the list near each freely entered label."""
+    return near_entries(load(spark, sf_dir, "lab_facts"), "raw_label", load(spark, sf_dir, "concept_terms"), "analyte")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wordings and lines that hold personal details, with their types."""
     parts = (("event_facts", "fact_id", "wording"), ("spans", "span_id", "text"))
@@ -65,8 +70,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that cannot reach their target."""
-    sizes = source_sizes(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))
-    return sizes.where(~F.col("reachable")).select("source").distinct()
+    return short_sources(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets")).select("source").distinct()
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +81,7 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares the mix reaches."""
     targets = load(spark, sf_dir, "mix_targets")
-    return shares(mix(load(spark, sf_dir, "documents"), targets), targets).select("source", "target_share", "tokens", F.round("actual_share", 4).alias("actual_share"))
+    return shares(queued(load(spark, sf_dir, "documents"), targets), targets).select("source", "target_share", "tokens", "repeats", F.round("actual_share", 4).alias("actual_share"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,5 +89,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(load(spark, sf_dir, "documents")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_labels, p5_found, p6_found, p6_redacted, p7_found, p7_paragraphs, p8_found, p9_found, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_labels, p5_found, p5_entries, p6_found, p6_redacted, p7_found, p7_paragraphs, p8_found, p9_found, p9_mix, p9_shares, p10_found)}
 SQL: dict[str, str] = {}

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from ..session import spread, written
+from ..session import small_side, spread, written
 
 # Glyphs a scanner takes for others, as "true read" pairs.
 CONFUSED = (
@@ -45,8 +47,8 @@ WHOLE_LEAST, WHOLE_RATIO = 3, 3
 #: Share of neighbouring pages that repeat a line for it to be a running one, and
 #: the pages that must show it before it is believed of pages standing alone.
 RUNNING_SHARE, RUNNING_LEAST = 0.5, 3
-#: Rows up to which a small side is sent to every executor after it is counted.
-MOST_BROADCAST = 500_000
+#: Lines from either end of a page that may be running ones.
+DEPTH = 3
 SCANNER = "tesseract"
 BLOCK = 1024
 
@@ -70,11 +72,6 @@ def clean(text: Column) -> Column:
     return text
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it is counted to be small, else as it is."""
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
-
-
 def word_counts(lines: DataFrame) -> DataFrame:
     """Forms of words: ``form, n, n_clean`` (not from the scanner) inside lines,
     and ``n_all, n_all_clean`` anywhere.
@@ -82,8 +79,7 @@ def word_counts(lines: DataFrame) -> DataFrame:
     First and last words of lines are left out of the former, as they may be
     parts of words.
     """
-    words = F.regexp_extract_all(clean(F.col("text")), F.lit(WORD), F.lit(0))
-    placed = lines.select(words.alias("w"), (F.col("reader") != SCANNER).cast("long").alias("c"))
+    placed = lines.select("w", (F.col("reader") != SCANNER).cast("long").alias("c"))
     placed = placed.select("c", F.explode(F.transform("w", lambda w, i: F.struct(w.alias("form"), ((i > 0) & (i < F.size("w") - 1)).cast("long").alias("inner")))).alias("t"))
     tokens = placed.select("t.form", F.col("t.inner").alias("i"), "c")
     return tokens.groupBy("form").agg(F.sum("i").alias("n"), F.sum(F.col("i") * F.col("c")).alias("n_clean"), F.count(F.lit(1)).alias("n_all"), F.sum("c").alias("n_all_clean"))
@@ -116,6 +112,11 @@ def derivable(true: str, read: str) -> bool:
     return False
 
 
+@F.pandas_udf(BooleanType())
+def _can_be_read(true: pd.Series, read: pd.Series) -> pd.Series:
+    return pd.Series([derivable(a, b) for a, b in zip(true, read, strict=True)])
+
+
 def misread_forms(counts: DataFrame, lines: DataFrame) -> DataFrame:
     """``form, meant``: forms that are misreadings of a frequent form.
 
@@ -130,8 +131,7 @@ def misread_forms(counts: DataFrame, lines: DataFrame) -> DataFrame:
     true = true.select("skeleton", F.col("form").alias("meant"), F.col("n_all").alias("n_meant"), F.col("n_clean").alias("clean_meant"))
     pairs = keyed.join(true, "skeleton").where((F.col("form") != F.col("meant")) & (F.col("n_meant") >= RATIO * F.col("n_all")) & (F.col("clean_meant") > 0) & (F.col("n_all_clean") * 100 <= F.col("n_all")))
     rows = pairs.select("form", "meant", F.col("n_all").alias("n"), "n_meant").where(F.col("form").rlike("\\p{L}") | (F.length("form") > 2))
-    can = F.udf(derivable, "boolean")
-    rows = written(rows.where(can("meant", "form")), "scan-pairs")
+    rows = written(rows.where(_can_be_read("meant", "form")), "scan-pairs")
     wanted = rows.select("form").union(rows.select("meant")).distinct()
     contexts = written(neighbour_counts(lines, wanted), "scan-contexts")
     a = contexts.select("form", "beside", F.col("n").alias("n_a"))
@@ -146,7 +146,7 @@ def misread_forms(counts: DataFrame, lines: DataFrame) -> DataFrame:
 
 def neighbour_counts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """``form, beside, n``: the wanted forms with the word before (``<``) or after (``>``)."""
-    words = F.regexp_extract_all(clean(F.col("text")), F.lit(WORD), F.lit(0))
+    words = F.col("w")
     pairs = F.transform(F.when(F.size(words) > 1, F.sequence(F.lit(0), F.size(words) - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(words[i].alias("a"), words[i + 1].alias("b")))
     both = lines.select(F.explode(pairs).alias("p"))
     sides = both.select(F.explode(F.array(F.struct(F.col("p.a").alias("form"), F.concat(F.lit(">"), F.col("p.b")).alias("beside")), F.struct(F.col("p.b").alias("form"), F.concat(F.lit("<"), F.col("p.a")).alias("beside")))).alias("s"))
@@ -154,13 +154,17 @@ def neighbour_counts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def page_edges(lines: DataFrame) -> DataFrame:
-    """First and last line of every page, one row per edge."""
-    at = F.struct("span_index", "span_id")
-    line = F.struct("span_id", "text", "span_index")
-    pages = lines.groupBy("content_hash", "unit_number").agg(F.min_by(line, at).alias("first"), F.max_by(line, at).alias("last"), F.count(F.lit(1)).alias("lines"))
-    edges = F.array(F.struct(F.lit("first").alias("edge"), F.col("first").alias("line")), F.struct(F.lit("last").alias("edge"), F.col("last").alias("line")))
-    edges = pages.withColumn("e", F.explode(edges)).where((F.col("e.edge") == "first") | (F.col("lines") > 1))
-    return edges.select("content_hash", "unit_number", F.col("e.edge").alias("edge"), F.col("e.line.span_id").alias("span_id"), F.col("e.line.text").alias("text"))
+    """The first and last ``DEPTH`` lines of every page, one row each with its
+    ``edge`` and ``depth``; one window per page numbers its lines."""
+    page = Window.partitionBy("content_hash", "unit_number")
+    number = F.row_number().over(page.orderBy("span_index", "span_id"))
+    rows = lines.select("content_hash", "unit_number", "span_index", "span_id", "text").withColumns({"first": number, "last": F.count(F.lit(1)).over(page)})
+    rows = rows.withColumn("last", F.col("last") - F.col("first") + 1)
+    # a line in the middle of a short page counts to its nearer end
+    first = (F.col("first") <= DEPTH) & (F.col("first") <= F.col("last"))
+    last = (F.col("last") <= DEPTH) & ~first
+    rows = rows.where(first | last)
+    return rows.select("content_hash", "unit_number", F.when(first, "first").otherwise("last").alias("edge"), F.when(first, F.col("first")).otherwise(F.col("last")).alias("depth"), "span_id", "text")
 
 
 # Dates with a month name, or digits only; no running lines.
@@ -177,42 +181,48 @@ LAST_NUMBER = rf"{NUMBER}(?!.*{NUMBER})"
 def furniture(lines: DataFrame) -> DataFrame:
     """``span_id`` of running headers, footers and page numbers.
 
-    Page-edge lines get keys: their text as it is, and for each number in it the
-    text with that number masked plus how far it is from the page's place. A key
-    that the page before or after shares makes a running line. How often a
-    line's form is shared that way over all contents tells titles, which stand
-    at the same place but are not repeated, from headers, and judges pages that
-    have no neighbour.
+    Lines at a page's ends get keys: their text as it is, and for each number in
+    it the text with that number masked plus how far it is from the page's place.
+    A key that the page before or after shares at the same place makes a running
+    line. How often a line's form is shared that way over all contents tells
+    titles, which stand at the same place but are not repeated, from headers, and
+    judges pages that have no neighbour. A line further in is a running one only
+    where all lines between it and the page's end are.
     """
     edges = page_edges(lines)
     text = clean(F.col("text"))
     numbers = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
     edges = edges.withColumns({"form": skeleton(F.regexp_replace(text, NUMBER, "9")), "plain": skeleton(text), "_t": text, "_n": numbers})
-    edges = edges.where(~F.lower(F.col("text")).rlike(DATED) & (F.length("text") <= 120))
+    edges = edges.where(~F.lower(F.col("text")).rlike(DATED))
+    # a line that its page repeats is text where it is not the outermost
+    repeated = F.count(F.lit(1)).over(Window.partitionBy("content_hash", "unit_number", "form")) > 1
+    edges = edges.withColumn("_again", repeated).where((F.col("depth") == 1) | ~F.col("_again"))
     none = F.array().cast("array<struct<key:string,offset:int>>")
     own = F.array(F.struct(F.col("plain").alias("key"), F.lit(None).cast("int").alias("offset")))
     ends = ((FIRST_NUMBER, "$1#", F.col("_n")[0]), (LAST_NUMBER, "#", F.element_at("_n", -1)))
     counted = F.array(*[F.struct(skeleton(F.regexp_replace("_t", pattern, mask)).alias("key"), (F.col("unit_number") - n.cast("int")).alias("offset")) for pattern, mask, n in ends])
     keys = F.concat(F.when(F.col("text").rlike(r"\p{L}{3}"), own).otherwise(none), F.when(F.size("_n") > 0, counted).otherwise(none))
-    keyed = edges.select("content_hash", "unit_number", "edge", "span_id", "form", "text", F.explode(keys).alias("k")).select("content_hash", "unit_number", "edge", "span_id", "form", "text", "k.key", "k.offset")
+    telling = (F.length(F.regexp_replace("text", r"[^\p{L}]", "")) >= 8) | F.col("text").rlike(r"(?<!\d)1(?!\d)")
+    place = ["content_hash", "unit_number", "edge", "depth", "span_id", "form", "telling"]
+    # keys and forms are only compared, so their hashes travel
+    keyed = edges.withColumns({"form": F.xxhash64("form"), "telling": telling}).select(*place, F.explode(keys).alias("k")).select(*place, F.xxhash64("k.key", "k.offset").alias("key"))
     keyed = written(keyed, "scan-edges")
-    slim = keyed.select("content_hash", "unit_number", "edge", "key", "offset").distinct()
-    around = slim.withColumn("unit_number", F.explode(F.array(F.col("unit_number") - 1, F.col("unit_number") + 1))).distinct()
-    b = around.select(*[F.col(c).alias(f"_{c}") for c in around.columns])
-    same = F.lit(True)
-    for c in ("content_hash", "unit_number", "edge", "key"):
-        same = same & (F.col(c) == F.col(f"_{c}"))
-    shared = keyed.join(b, same & F.col("offset").eqNullSafe(F.col("_offset")), "left").select("content_hash", "unit_number", "edge", "span_id", "form", "text", F.col("_key").isNotNull().alias("shared"))
-    lines_ = shared.groupBy("content_hash", "unit_number", "edge", "span_id", "form").agg(F.max("shared").alias("shared"), F.max("text").alias("text"))
+    around = keyed.select("content_hash", "unit_number", "edge", "depth", "key").distinct()
+    around = around.withColumn("unit_number", F.explode(F.array(F.col("unit_number") - 1, F.col("unit_number") + 1))).distinct()
+    shared = keyed.join(around.withColumn("_shared", F.lit(True)), ["content_hash", "unit_number", "edge", "depth", "key"], "left")
+    lines_ = shared.groupBy(*place).agg(F.max(F.col("_shared").isNotNull()).alias("shared"))
     # A page has a neighbour to share with unless its content is one page.
-    pages = lines.groupBy("content_hash").agg(F.count_distinct("unit_number").alias("pages"))
-    lines_ = written(lines_.join(pages, "content_hash"), "scan-lines")
-    forms = lines_.groupBy("edge", "form").agg(F.sum(F.col("shared").cast("long")).alias("n_shared"), F.sum((F.col("pages") > 1).cast("long")).alias("n"))
+    pages = lines.groupBy("content_hash").agg((F.min("unit_number") != F.max("unit_number")).alias("several"))
+    lines_ = written(lines_.join(pages, "content_hash"), "scan-judged")
+    forms = lines_.groupBy("edge", "depth", "form").agg(F.sum(F.col("shared").cast("long")).alias("n_shared"), F.sum(F.col("several").cast("long")).alias("n"))
     forms = small_side(forms.where(F.col("n_shared") > 0))
-    judged = lines_.join(forms, ["edge", "form"], "left").withColumn("share", F.coalesce(F.col("n_shared") / F.col("n"), F.lit(0.0)))
-    telling = (F.length(F.regexp_replace("text", r"[^\p{L}]", "")) >= 8) | F.col("text").rlike(r"(?<!\d)1(?!\d)")
-    alone = (F.col("n_shared") >= RUNNING_LEAST) & telling
-    return judged.where((F.col("share") >= RUNNING_SHARE) & (F.col("shared") | alone)).select("span_id").distinct()
+    judged = lines_.join(forms, ["edge", "depth", "form"], "left").withColumn("share", F.coalesce(F.col("n_shared") / F.col("n"), F.lit(0.0)))
+    alone = (F.col("n_shared") >= RUNNING_LEAST) & F.col("telling")
+    # further in stock sentences meet by chance, so more pages must show the line
+    often = (F.col("depth") == 1) | (F.col("n_shared") >= 2 * RUNNING_LEAST)
+    running = judged.where((F.col("share") >= RUNNING_SHARE) & (F.col("shared") | alone) & often).select("content_hash", "unit_number", "edge", "depth", "span_id").distinct()
+    outer = F.row_number().over(Window.partitionBy("content_hash", "unit_number", "edge").orderBy("depth", "span_id"))
+    return running.withColumn("_outer", outer).where(F.col("_outer") == F.col("depth")).select("span_id").distinct()
 
 
 def next_lines(text_lines: DataFrame) -> DataFrame:
@@ -271,7 +281,23 @@ def broken_words(text_lines: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def _lines(spans: DataFrame) -> DataFrame:
-    return spans.select("span_id", "content_hash", "unit_number", "span_index", "text", "reader").where(F.col("span_id").isNotNull() & F.col("text").isNotNull() & (F.trim("text") != ""))
+    """Lines of text with their words ``w`` in clean form; cut into words once."""
+    lines = spans.select("span_id", "content_hash", "unit_number", "span_index", "text", "reader", "x0").where(F.col("span_id").isNotNull() & F.col("text").isNotNull() & (F.trim("text") != ""))
+    return written(lines.withColumn("w", F.regexp_extract_all(clean(F.col("text")), F.lit(WORD), F.lit(0))), "scan-lines")
+
+
+def _noise(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Furniture, lines of text without it, broken words, and misread forms."""
+    edge = written(furniture(lines), "scan-furniture")
+    text_lines = lines.join(small_side(edge), "span_id", "left_anti")
+    counts = written(word_counts(lines), "scan-counts")
+    broken = written(broken_words(text_lines, counts), "scan-broken")
+    forms = small_side(written(misread_forms(whole_counts(counts, broken), lines), "scan-forms"))
+    return edge, text_lines, broken, forms
+
+
+#: A digit that letters are taken for, inside a word that is no name of a thing.
+ODD = r"(?<![\p{L}\p{N}@._-])\p{L}{2,}[0135]\p{Ll}{2,}(?![\p{L}\p{N}@_])|(?<![\p{L}\p{N}@._-])\p{Lu}\p{Ll}+[0135]\p{Ll}+(?![\p{L}\p{N}@_])"
 
 
 def scan_noise(spans: DataFrame) -> DataFrame:
@@ -280,21 +306,16 @@ def scan_noise(spans: DataFrame) -> DataFrame:
     Method: words are grouped by confusable-glyph skeleton and the contextually
     supported frequent form is chosen; running lines are found with numbers
     masked; the order of lines is followed by SQL windows. Statistics are over
-    all spans. Defined results: null and blank spans have no noise and are
-    skipped as lines; a span may have several kinds; repeated span ids give one
-    row a kind; letter-free tokens are never misread.
+    all spans. Beside them a digit inside a word of the scanner is a misread
+    letter however rare the word. Defined results: null and blank spans have no
+    noise and are skipped as lines; a span may have several kinds; repeated span
+    ids give one row a kind; letter-free tokens are never misread.
     """
     lines = _lines(spans)
-    edge = written(furniture(lines), "scan-furniture")
-    text_lines = lines.join(small_side(edge), "span_id", "left_anti")
-    counts = written(word_counts(lines), "scan-counts")
-    broken = written(broken_words(text_lines, counts), "scan-broken")
-    forms = small_side(written(misread_forms(whole_counts(counts, broken), lines), "scan-forms"))
-    words = F.explode(F.array_distinct(F.regexp_extract_all(clean(F.col("text")), F.lit(WORD), F.lit(0))))
-    odd = r"(?<![\p{L}\p{N}@._-])\p{L}{2,}[0135]\p{Ll}{2,}(?![\p{L}\p{N}@_])|(?<![\p{L}\p{N}@._-])\p{Lu}\p{Ll}+[0135]\p{Ll}+(?![\p{L}\p{N}@_])"
+    edge, _, broken, forms = _noise(lines)
     scanned = lines.where(F.col("reader") == SCANNER)
-    misread = scanned.select("span_id", words.alias("form")).join(forms.select("form"), "form").select("span_id")
-    misread = misread.union(scanned.where(F.col("text").rlike(odd)).select("span_id"))
+    misread = scanned.select("span_id", F.explode(F.array_distinct("w")).alias("form")).join(forms.select("form"), "form").select("span_id")
+    misread = misread.union(scanned.where(F.col("text").rlike(ODD)).select("span_id"))
     kinds = {"furniture": edge, "misread": misread, "broken_word": broken}
     out = None
     for kind, df in kinds.items():
@@ -303,8 +324,6 @@ def scan_noise(spans: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-
-
 def _starts(line: Column, before: Column) -> Column:
     """1 where a line starts a paragraph after the line before it, else 0."""
     same_edge = F.coalesce(F.abs(line["x0"] - before["x0"]) < 5, F.lit(True))
@@ -337,6 +356,19 @@ def paragraph_bases(pages: DataFrame) -> DataFrame:
     return sums.select(F.col("content_hash").alias("_h"), F.col("unit_number").alias("_u"), base.alias("_base"))
 
 
+def _repaired(text: Column, repairs: Column) -> Column:
+    """The text with its misread forms written as what they mean, in their case."""
+    meant_of = F.map_from_entries(repairs)
+
+    def word(token: Column) -> Column:
+        meant = F.try_element_at(meant_of, clean(token))
+        first = F.substring(token, 1, 1)
+        return F.when(meant.isNull(), token).when(token == F.upper(token), F.upper(meant)).when(first == F.upper(first), F.initcap(meant)).otherwise(meant)
+
+    tokens = F.regexp_extract_all(text, F.lit(rf"{WORD}|[^\p{{L}}\p{{N}}]+"), F.lit(0))
+    return F.array_join(F.transform(tokens, word), "")
+
+
 def paragraphs(spans: DataFrame) -> DataFrame:
     """``content_hash, unit_number, paragraph, text``: running text, repaired.
 
@@ -349,19 +381,13 @@ def paragraphs(spans: DataFrame) -> DataFrame:
     per page, so no content is collected as a whole, only each paragraph.
     """
     lines = _lines(spans)
-    edge = written(furniture(lines), "scan-furniture")
-    text_lines = lines.join(small_side(edge), "span_id", "left_anti")
-    counts = written(word_counts(lines), "scan-counts")
-    broken = written(broken_words(text_lines, counts), "scan-broken")
-    forms = small_side(written(misread_forms(whole_counts(counts, broken), lines), "scan-forms"))
+    _, text_lines, broken, forms = _noise(lines)
     broken = broken.groupBy("span_id").agg(F.lit(True).alias("broken"))
-    x0 = spans.select("span_id", "x0").groupBy("span_id").agg(F.min("x0").alias("x0"))
-    token = F.regexp_extract_all(F.col("text"), F.lit(rf"{WORD}|[^\p{{L}}\p{{N}}]+"), F.lit(0))
-    scanned = lines.where(F.col("reader") == SCANNER).select("span_id", F.posexplode(token).alias("i", "tok"))
-    fixed = scanned.join(forms.withColumnRenamed("form", "_f"), clean(F.col("tok")) == F.col("_f"), "left")
-    shaped = F.when(F.col("meant").isNull(), F.col("tok")).when(F.col("tok") == F.upper("tok"), F.upper("meant")).when(F.substring("tok", 1, 1) == F.upper(F.substring("tok", 1, 1)), F.initcap("meant")).otherwise(F.col("meant"))
-    fixed = fixed.groupBy("span_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", shaped.alias("t")))), lambda s: s["t"]), "").alias("fixed"))
-    rows = text_lines.join(broken, "span_id", "left").join(x0, "span_id", "left").join(fixed, "span_id", "left").withColumn("text", F.coalesce("fixed", "text"))
+    # Only lines with a misread form are cut into tokens; the forms of one line are few.
+    scanned = lines.where(F.col("reader") == SCANNER).select("span_id", "content_hash", F.explode(F.array_distinct("w")).alias("form"))
+    repairs = scanned.join(forms, "form").groupBy("span_id").agg(F.collect_set(F.struct("form", "meant")).alias("repairs"))
+    rows = text_lines.select("span_id", "content_hash", "unit_number", "span_index", "text", "x0").join(small_side(broken), "span_id", "left")
+    rows = rows.join(repairs, "span_id", "left").withColumn("text", F.when(F.col("repairs").isNull(), F.col("text")).otherwise(_repaired(F.col("text"), F.col("repairs")))).drop("repairs")
     is_text = (F.length("text") >= 30) | F.col("text").rlike(r"[.!?…»“\"]\s*$")
     rows = written(rows.withColumn("_is_text", is_text), "scan-rows")
     at = F.struct("span_index", "span_id")

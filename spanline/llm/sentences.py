@@ -26,7 +26,9 @@ BEFORE_NUMBER = "no nos nr p pp vol ch sec ref item pt art abb seite s fig tab 
 BEFORE_ORDINAL = "am im der die das den dem des vom zum zur bis ab seit jeder jeden und"
 MONTHS_DE = "januar februar märz april mai juni juli august september oktober november dezember"
 
-NEVER = frozenset(w for words in NEVER_LAST.values() for w in words.split())
+NEVER = {lang: frozenset(words.split()) for lang, words in NEVER_LAST.items()}
+#: For texts whose language is not known.
+NEVER_ANY = frozenset().union(*NEVER.values())
 NUMBERED = frozenset(BEFORE_NUMBER.split())
 ORDINAL = frozenset(BEFORE_ORDINAL.split())
 MONTHS = frozenset(MONTHS_DE.split())
@@ -42,52 +44,52 @@ NUMBER_BEFORE = regex.compile(r"(?:([\p{L}]+)\s+|^|,\s*)(\d{1,3})$")
 ITEM = regex.compile(r"\s*(\d{1,3})[.)](?=[^\S\n])")
 CONTINUES = regex.compile(r"\s*(?:[,;:—–-]|\p{SB=Lower})")
 SOLID = regex.compile(r"\S")
-#: Characters about a full stop in which its word and its follower are looked for.
-NEAR = 80
+#: Characters about a full stop in which its word and its follower are looked at:
+#: more than any listed word has, so what lies beyond cannot change the answer.
+NEAR = 8 + max(len(w) for w in (*NEVER_ANY, *NUMBERED, *ORDINAL, *MONTHS))
 WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 THAI = r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}&&[\p{L}\p{M}]]"
 THAI_SPACE = regex.compile(rf"(?V1)(?<={THAI})[^\S\n]+(?={THAI})|(?V1)(?<={THAI})\n(?={THAI})")
 PAIRS = {"«": "»", "„": "“”", "“": "”", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "《": "》"}
+MARKS = regex.compile("[" + regex.escape("".join({*PAIRS, *"".join(PAIRS.values()), '"'})) + "]")
 
 
 def spans_of_pairs(text: str) -> list[tuple[int, int]]:
-    """Outermost quotations and brackets as (first, last) positions."""
+    """Outermost quotations and brackets as (first, last) positions; a mark that
+    is not closed holds nothing back. One pass over the text."""
     stack: list[tuple[int, str]] = []
-    out = []
-    for i, c in enumerate(text):
+    pairs = []
+    for m in MARKS.finditer(text):
+        i, c = m.start(), m[0]
         if stack and c in stack[-1][1]:
-            first, _ = stack.pop()
-            if not stack:
-                out.append((first, i))
-        elif c in PAIRS:
-            stack.append((i, PAIRS[c]))
-        elif c == '"':
-            stack.append((i, '"'))
-    if stack and stack[0][0] >= 0:  # an unclosed mark holds nothing back
-        first = stack[0][0]
-        out += [(a + first + 1, b + first + 1) for a, b in spans_of_pairs(text[first + 1 :])]
+            pairs.append((stack.pop()[0], i))
+        elif c in PAIRS or c == '"':
+            stack.append((i, PAIRS.get(c, c)))
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(pairs):
+        if not out or first > out[-1][1]:
+            out.append((first, last))
     return out
 
 
-def _abbreviated(before: str, after: str) -> bool:
-    """Whether the full stop between ``before`` and ``after`` only shortens a word."""
+def _abbreviated(before: str, after: str, never: frozenset[str]) -> bool:
+    """Whether the full stop between ``before`` and ``after`` only shortens a word;
+    ``never`` are the language's abbreviations that end no sentence."""
     m = WORD_BEFORE.search(before)
     nxt = after.lstrip()
     if m:
         word = m[1]
         spaced = SPACED_BEFORE.search(before)
         key = word.casefold()
-        if key in NEVER and not (len(key) == 1 and word.islower() and nxt[:1].isupper() and key in "дпс"):
+        if key in never and not (len(key) == 1 and word.islower() and nxt[:1].isupper() and key in "дпс"):
             return True
-        if spaced and regex.sub(r"\s", "", spaced[1].casefold()) in NEVER:
+        if spaced and regex.sub(r"\s", "", spaced[1].casefold()) in never:
             return True
         if key in NUMBERED and nxt[:1].isdigit():
             return True
         single = len(word) == 1 and UPPER.match(word)
         if single and (len(before) == 1 or before[-2] in " \n\t.(«\"„“ ") and UPPER.match(nxt):
             return True
-        if regex.match(r"[\p{Thai}\p{Devanagari}]", word[-1]):
-            return True
         return False
     n = NUMBER_BEFORE.search(before)
     if n:
@@ -99,7 +101,7 @@ def _abbreviated(before: str, after: str) -> bool:
     return False
 
 
-def _block(text: str, base: int, out: list[tuple[int, int]]) -> None:
+def _block(text: str, base: int, out: list[tuple[int, int]], never: frozenset[str]) -> None:
     """Units of a text without blank lines."""
     pairs = spans_of_pairs(text)
     firsts = [a for a, _ in pairs]
@@ -149,7 +151,7 @@ def _block(text: str, base: int, out: list[tuple[int, int]]) -> None:
                 continue
             if LOWER.match(nxt) or nxt[0] in ",;:)":
                 continue
-            if m[0] == "." and not closed and _abbreviated(text[max(start, m.start() - NEAR) : m.start()], after):
+            if m[0] == "." and not closed and _abbreviated(text[max(start, m.start() - NEAR) : m.start()], after, never):
                 continue
             if not spaced:
                 word = WORD_BEFORE.search(text[max(start, m.start() - NEAR) : m.start()])
@@ -172,16 +174,20 @@ def _block(text: str, base: int, out: list[tuple[int, int]]) -> None:
         last = cut
 
 
-def sentence_spans(text: str | None) -> list[tuple[int, int]]:
-    """Start and end of every sentence unit, without surrounding white space."""
+def sentence_spans(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
+    """Start and end of every sentence unit, without surrounding white space.
+
+    ``lang`` names whose abbreviations hold; a language without a list has none,
+    and for an unknown one those of all hold."""
+    never = NEVER.get(lang, frozenset()) if lang else NEVER_ANY
     out: list[tuple[int, int]] = []
     if not text:
         return out
     last = 0
     for m in BLANK.finditer(text):
-        _block(text[last : m.start()], last, out)
+        _block(text[last : m.start()], last, out, never)
         last = m.end()
-    _block(text[last:], last, out)
+    _block(text[last:], last, out, never)
     return out
 
 
@@ -192,8 +198,8 @@ def split_sentences(documents: DataFrame) -> DataFrame:
     """One row per sentence unit: ``doc_id, start_pos, end_pos`` (exclusive).
 
     Method: the standard sentence-break character properties find terminators in
-    every script, followed by suppression for abbreviations, initials and
-    ordinals, closing marks, quotations and lists; blank lines always end a
+    every script, followed by suppression for the language's abbreviations, initials
+    and ordinals, closing marks, quotations and lists; blank lines always end a
     unit, and a space between Thai letters does. A narrow map: no shuffle.
 
     Defined results: null, empty and blank texts have no units; a text without
@@ -203,7 +209,8 @@ def split_sentences(documents: DataFrame) -> DataFrame:
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(k, a, b) for k, t in zip(f["doc_id"], f["text"], strict=True) for a, b in sentence_spans(t)]
+            langs = [x if isinstance(x, str) else None for x in f["lang"]]
+            rows = [(k, a, b) for k, t, lang in zip(f["doc_id"], f["text"], langs, strict=True) for a, b in sentence_spans(t, lang)]
             yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "end_pos"]).astype("int64")
 
-    return documents.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInPandas(split, OUT)
+    return documents.select(F.col("doc_id").cast("long"), "text", "lang").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInPandas(split, OUT)

@@ -124,6 +124,20 @@ def test_scan_noise(spark):
     assert [text[i] for i, k in found if k == "misread"] == ["the paticnt came for a control of the wound again"]
 
 
+def test_running_lines_are_several_deep_and_of_any_length(spark):
+    long = "North Clinic of Velmar, department of internal medicine, " + "second building and ward of the eastern wing, " * 4
+    rows, i = [], 0
+    for c in range(4):
+        for u in range(1, 6):
+            name = "".join("akrxyn"[(7 * c + u) // d % 6] for d in (36, 6, 1))
+            for k, t in enumerate([long, "Discharge letters", f"Note {name}", f"the dose of {name} was halved", "as agreed", f"see {name} too", "Confidential text", f"{u} / 5"]):
+                rows.append((i, f"c{c}", u, k, t, 10.0, "pdf-text"))
+                i += 1
+    text = {r[0]: r[4] for r in rows}
+    found = [text[r.span_id] for r in scans.scan_noise(spark.createDataFrame(rows, SPANS)).where("noise_kind = 'furniture'").collect()]
+    assert set(found) == {long, "Discharge letters", "Confidential text", *(f"{u} / 5" for u in range(1, 6))} and len(found) == 80
+
+
 def test_misread_words_at_line_edges(spark):
     lines = [(1, "patlent came for a control today", "tesseract"), (2, "vislt to the ward and then the control", "tesseract"), (3, "came again for a contro1", "tesseract"), (4, "vvard", "tesseract")]
     rows = [(i, "c0", i, 0, t, 10.0, r) for i, t, r in lines]
@@ -172,8 +186,8 @@ def test_mix_meets_shares_and_caps(spark, monkeypatch):
         return frame.select("doc_id", "source", F.coalesce(F.size(F.split(F.trim("text"), " ")), F.lit(0)).cast("long").alias("tokens"))
 
     monkeypatch.setattr(mixing, "with_tokens", count)
-    sizes = {x.source: x for x in mixing.source_sizes(docs, targets).collect()}
-    assert sizes["a"].reachable and not sizes["c"].reachable and sizes["none"].reachable
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 50)
+    assert [x.source for x in mixing.short_sources(docs, targets).collect()] == ["c"]
     budget = 3000
     mixed = mixing.mix(docs, targets, budget)
     got = mixed.collect()
@@ -185,6 +199,11 @@ def test_mix_meets_shares_and_caps(spark, monkeypatch):
         uses.setdefault((x.source, x.doc_id), []).append(x.repeat)
     assert all(len(set(v)) == len(v) <= {"a": 1, "b": 2, "c": 3}[s] for (s, _), v in uses.items())
     assert [x.finish for x in got] == sorted(x.finish for x in got)
+    totals = {x.source: (x.repeats, x.tokens) for x in mixing.shares(mixed, targets).collect()}
+    assert totals["none"] == (0, 0) and totals["a"][0] == 1 and totals["c"][0] >= 1
+    # a source without any document is short of any share
+    lacking = spark.createDataFrame([("a", 0.9, 1), ("gone", 0.1, 3)], targets.schema)
+    assert {x.source for x in mixing.short_sources(docs, lacking).collect()} >= {"gone"}
     # more than there is: every source is used up, none beyond its cap
     full = mixing.mix(docs, targets, 10**9).groupBy("source", "doc_id").count().collect()
     assert all(x["count"] == {"a": 1, "b": 2, "c": 3}[x.source] for x in full)

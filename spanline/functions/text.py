@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -55,11 +56,23 @@ def _normalise(texts: pd.Series) -> pd.Series:
     return texts.map(normalise_text, na_action="ignore")
 
 
+#: Text that needs no Python to be normalised: ASCII and Cyrillic letters, the
+#: scripts not mixed in a word.
+SIMPLE = r"^[\x00-\x7FЀ-џҐґ]*$"
+MIXED = r"[A-Za-z][Ѐ-џҐґ]|[Ѐ-џҐґ][A-Za-z]"
+
+
 def normalise(text: Column) -> Column:
-    """Comparable form; plain ASCII never leaves the JVM."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.replace(text, F.lit("`"), F.lit("'"))), r"(?<=\d),(?=\d)", "."), r"\s+", " "))
-    odd = ~text.rlike(r"^[\x00-\x7F]*$")
-    return F.when(odd, _normalise(F.when(odd, text))).otherwise(plain)
+    """Comparable form; plain ASCII and Cyrillic never leave the JVM."""
+    lower = F.translate(F.lower(F.replace(text, F.lit("`"), F.lit("'"))), "ё", "е")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(lower, r"(?<=\d),(?=\d)", "."), r"\s+", " "))
+    simple = text.rlike(SIMPLE) & ~text.rlike(MIXED)
+    return F.when(~simple, _normalise(F.when(~simple, text))).otherwise(plain)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def fold_signs(text: Column) -> Column:
@@ -67,9 +80,15 @@ def fold_signs(text: Column) -> Column:
     return F.translate(text, MINUS, "--")
 
 
+def edges(text: Column) -> Column:
+    """Normalised text with plain signs, no space between a comparator and its
+    number, and no punctuation at its edges."""
+    return F.regexp_replace(F.regexp_replace(fold_signs(text), r"([<>≤≥]=?)\s+(?=[+-]?\d)", "$1"), r"^[ :;,.|]+|[ :;,.|]+$", "")
+
+
 def clean(text: Column) -> Column:
-    """Normalised text without space after comparators and edge punctuation."""
-    return F.regexp_replace(F.regexp_replace(fold_signs(normalise(text)), r"([<>=≤≥]) +(?=[\d.+-])", "$1"), r"^[ :;,.|]+|[ :;,.|]+$", "")
+    """The form in which claims and rows are compared; null stays null."""
+    return edges(normalise(text))
 
 
 def tokens(text: Column) -> Column:
@@ -120,11 +139,12 @@ def contains_phrase(words: Column, phrase: Column) -> Column:
     return (F.size(phrase) > 0) & F.contains(F.concat(sep, F.array_join(words, "\u0001"), sep), F.concat(sep, F.array_join(phrase, "\u0001"), sep))
 
 
-def fragment(phrase_stems: Column) -> Column:
-    """A cheap substring every text with the phrase holds: the longest stem less
-    its last letter, at least three letters."""
-    longest = F.element_at(F.array_sort(phrase_stems, lambda a, b: F.length(b) - F.length(a)), 1)
-    return F.substring(longest, F.lit(1), F.greatest(F.length(longest) - 1, F.lit(3)))
+def fragments(phrases: list[str]) -> list[str]:
+    """For each phrase (stems joined by spaces) a substring that every normalised
+    text with the phrase holds: its longest stem less the last letter, three
+    letters at least."""
+    longest = [max(p.split(" "), key=len) for p in phrases if p]
+    return sorted({w[: max(3, len(w) - 1)] for w in longest})
 
 
 def safe(text: Column) -> Column:

@@ -29,9 +29,3 @@ def quality_warning(text: Column) -> Column:
     bare = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
     broken = F.length(text) - F.length(F.translate(text, "�\u0000", ""))
     return F.when(F.coalesce(F.trim(text), F.lit("")) == "", "OCR_REQUIRED").when((bare < 10) | (broken > 0.02 * F.length(text)), "TEXT_LAYER_LOW_QUALITY")
-
-
-def evidence_strength(handwriting: Column, verification: Column, type_in_wording: Column, document_class: Column) -> Column:
-    """``weak``, ``indirect`` or ``direct`` support of an event."""
-    direct = document_class.isin("visit_note", "discharge", "referral")
-    return F.when(handwriting, "weak").when(verification != "verified", "indirect").when(~type_in_wording, "indirect").when(F.coalesce(direct, F.lit(False)), "direct").otherwise("indirect")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["content_hash", "file_format"]
-COVERAGE_CODES = ("OCR_REQUIRED", "TEXT_LAYER_LOW_QUALITY", "TEXT_LOCATION_UNAVAILABLE", "VISION_OUTPUT_INVALID", "CONTEXT_MISSING")
+# Codes that a page is listed for although it is complete.
+COVERAGE_CODES = ("HANDWRITING_NOT_INTERPRETED", "MISSING_CONTEXT", "POSSIBLE_INCOMPLETE_TABLE_EXTRACTION", "VISION_ITEMS_DROPPED", "TEXT_LAYER_COVERAGE_UNVERIFIED")
 
 
 def fact_counts(labs: DataFrame, events: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from ..functions import rows as R
 from ..functions import text as T
+from ..session import written
 from . import layout, terms
 
 # The order of sections in an answer.
@@ -69,36 +71,69 @@ def ordered(rows: DataFrame) -> DataFrame:
     return rows.orderBy(rank, F.col("first_day").asc_nulls_last(), "content_hash", "unit_number", "fact_id")
 
 
-def sweep(spans: DataFrame, facts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Mentions of phrases in page text that no matched fact covers.
-
-    Evidence of matched facts covers their rows whether or not their date is in
-    the window. Uncovered rows are joined into runs of up to three; runs that
-    hold a phrase are counted per page with their least text."""
-    rows = layout.cluster_rows(spans)
-    covered = facts.select(*layout.PAGE, F.explode("evidence").alias("i")).distinct()
-    exploded = rows.select(*layout.PAGE, "row", F.explode("members").alias("i"))
-    open_rows = exploded.join(covered, [*layout.PAGE, "i"], "left_anti").select(*layout.PAGE, "row").distinct()
-    runs = layout.row_windows(rows)
-    found = layout.mentions(runs, phrases)
-    # a run counts when one of its rows at least is not covered
-    touched = found.select("*", F.explode(F.sequence(F.col("row"), F.col("row") + F.col("rows") - 1)).alias("_row"))
-    kept = touched.join(open_rows.withColumnRenamed("row", "_row"), [*layout.PAGE, "_row"], "left_semi").drop("_row").distinct()
-    texts = kept.select(*layout.PAGE, F.substring("text", 1, 100).alias("text")).distinct()
+def candidate_pages(spans: DataFrame, phrases: list[str]) -> DataFrame:
+    """Pages with a span that holds a fragment of a phrase; no phrase, no pages."""
+    norm = T.normalise(F.col("text"))
+    hit = F.lit(False)
+    for f in T.fragments(phrases):
+        hit = hit | F.contains(norm, F.lit(f))
+    return spans.where(F.coalesce(hit, F.lit(False))).select(*layout.PAGE).distinct()
+
+
+def sweep(spans: DataFrame, facts: DataFrame, phrases: list[str]) -> DataFrame:
+    """``content_hash, unit_number, mentions, example``: mentions of phrases (stems
+    joined by spaces) in page text that no matched fact's evidence covers.
+
+    Only pages with a fragment of a phrase are cut into rows. Runs of one to
+    three rows whose stems hold a phrase are mentions, unless all spans that carry
+    its stems there are evidence of matched facts, whether or not their date is in
+    the window. A page's distinct texts are counted, with the least as example.
+    Pages without content or number, and phrases that are empty, have none."""
+    phrases = [p for p in phrases if p]
+    near = spans.join(candidate_pages(spans, phrases), layout.PAGE, "left_semi")
+    rows = written(layout.cluster_rows(near, normalised=True), "sweep-rows")
+    words = rows.select(*layout.PAGE, "row", T.stems(T.tokens(F.col("text"))).alias("stems"))
+    found = layout.mentions(layout.row_windows(words, "stems"), phrases).select(*layout.PAGE, "row", "rows", "phrase")
+    lines = found.withColumn("_row", F.explode(F.sequence(F.col("row"), F.col("row") + F.col("rows") - 1)))
+    lines = lines.join(rows.select(*layout.PAGE, F.col("row").alias("_row"), "members", "parts", "said"), [*layout.PAGE, "_row"])
+    refs = F.flatten(F.transform(F.split("phrase", " "), lambda w: R.spans_with(F.col("parts"), F.col("members"), w)))
+    runs = lines.groupBy(*layout.PAGE, "row", "rows", "phrase").agg(
+        F.array_distinct(F.flatten(F.collect_list(refs))).alias("refs"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_row", "said"))), lambda r: r["said"]), " ").alias("text"))
+    covered = facts.select(*layout.PAGE, F.explode("evidence").alias("i")).groupBy(*layout.PAGE).agg(F.collect_set("i").alias("covered"))
+    runs = runs.join(covered, layout.PAGE, "left").where(F.col("covered").isNull() | (F.size(F.array_except("refs", "covered")) > 0))
+    texts = runs.select(*layout.PAGE, F.substring("text", 1, 100).alias("text")).distinct()
     return texts.groupBy(*layout.PAGE).agg(F.count(F.lit(1)).alias("mentions"), F.min("text").alias("example"))
 
 
+def units_note(rows: DataFrame) -> DataFrame:
+    """One row ``note`` when an answer's rows report more than one unit, else none."""
+    n = rows.groupBy(F.coalesce("unit", F.lit("-")).alias("unit")).agg(F.count(F.lit(1)).alias("n"))
+    listed = n.agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%s (%d)", "unit", "n"))), ", ").alias("l"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    return listed.select(F.format_string("Different units are reported: %s. Values are shown as written.", "l").alias("note"))
+
+
+def newer_staged(generations: DataFrame, active: str) -> DataFrame:
+    """The latest finished scan that is staged and began after the active one:
+    ``generation_id, started_at, finished_at``, or no row."""
+    begun = generations.where(F.col("generation_id") == active).select(F.col("started_at").alias("_a"))
+    later = generations.where("kind = 'scan' and state = 'staged' and finished_at is not null").join(F.broadcast(begun.limit(1)), F.col("started_at") > F.col("_a"))
+    return later.agg(F.max_by(F.struct("generation_id", "started_at", "finished_at"), F.struct("started_at", "generation_id")).alias("g")).where("g is not null").select("g.*")
+
+
 def run_query(facts: DataFrame, label: str, spans: DataFrame, term_list: DataFrame, kind: str, term: str, frm: str | None = None, to: str | None = None, groups: DataFrame | None = None) -> HistoryResult:
     """The whole answer for one term: rows in order, mentions, and what a window left out."""
     window = D.parse_range(frm, to)
     words = terms.dictionary(term_list)
     spark = facts.sparkSession
     groups = groups if groups is not None else spark.createDataFrame([], "kind string, name string, member string")
-    scope = terms.resolve(words, groups, kind, term)
+    found = terms.resolve(words, groups, kind, term)
+    scope, phrases = list(found.concepts), list(found.phrases)
     if scope:
-        matches = terms.match(facts, label, words, scope)
-        matches = terms.best(matches.select("label", "status"), ["label"])
-        phrases = words.where(F.col("concept_id").isin(scope)).select(F.col("stem_key").alias("phrase")).distinct()
+        labels = facts.select(F.col(label).alias("label"))
+        if "alternative_label" in facts.columns:
+            labels = labels.union(facts.select("alternative_label"))
+        matches = terms.match(labels, "label", words, scope)
+        matches = written(terms.best(matches.select("label", "status"), ["label"]), "history-matches")
     else:
         key = spark.createDataFrame([(term,)], "t string").select(T.label_key(F.col("t")).alias("key"), T.stem_key(F.col("t")).alias("stem"))
         d = facts.select(F.col(label).alias("label")).distinct()
@@ -106,6 +141,9 @@ def run_query(facts: DataFrame, label: str, spans: DataFrame, term_list: DataFra
         exact = d.join(key, F.col("_k") == F.col("key")).select("label", F.lit("raw").alias("status"))
         near = d.join(key, (F.col("_s") == F.col("stem")) & (F.col("_k") != F.col("key"))).select("label", F.lit("inflected").alias("status"))
         matches = exact.unionByName(near)
-        phrases = key.select(F.col("stem").alias("phrase"))
+    if "alternative_label" in facts.columns:  # a fact no label of which matches may match by its other reading
+        own = facts.join(matches.select(F.col("label").alias("_l")), F.col(label) == F.col("_l"), "left")
+        facts = own.withColumn("_by", F.when(F.col("_l").isNull(), F.col("alternative_label")).otherwise(F.col(label))).drop("_l")
+        label = "_by"
     matched = facts.join(matches.select(F.col("label").alias("_l")), F.col(label) == F.col("_l"), "left_semi")
     return HistoryResult(ordered(sections(facts, label, matches, window)), sweep(spans, matched, phrases), excluded_undated(facts, label, matches, window))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -74,7 +74,14 @@ def status_rank(status: Column) -> Column:
     return F.when(status.isin("ready", "completed"), 0).when(status == "partial", 1).when(status.isin("unsupported", "skipped"), 2).otherwise(3)
 
 
-def first_paths(inventory: DataFrame) -> DataFrame:
-    """Ready files numbered within their content: the first is read, the rest are copies."""
-    w = Window.partitionBy("generation_id", "content_hash").orderBy("relative_path")
-    return inventory.where(F.col("content_hash").isNotNull()).withColumn("nth", F.row_number().over(w))
+def same_content(items: DataFrame, member: str) -> DataFrame:
+    """``content_hash, copies, members``: contents with all that carry them, in order."""
+    known = items.where(F.col("content_hash").isNotNull())
+    return known.groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"), F.sort_array(F.collect_list(member)).alias("members"))
+
+
+def with_counts(parents: DataFrame, children: DataFrame, key: str, out: str) -> DataFrame:
+    """Parents with the number of their children; parents without any have 0.
+    Children are counted before they move."""
+    n = children.groupBy(key).agg(F.count(F.lit(1)).alias(out))
+    return parents.join(n, key, "left").fillna(0, [out])

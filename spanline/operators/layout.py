@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import small_side
+from .grouped import map_groups
 
 PAGE = ["content_hash", "unit_number"]
+_PAGE_TYPES = "content_hash string, unit_number int"
 
 
 def position(df: DataFrame, at: str) -> Column:
@@ -15,38 +19,45 @@ def position(df: DataFrame, at: str) -> Column:
     return F.unix_micros(F.col(at).cast("timestamp")) if dict(df.dtypes)[at].startswith("timestamp") else F.col(at)
 
 
-def cluster_rows(spans: DataFrame) -> DataFrame:
+def _row_numbers(page: dict) -> dict:
+    """Rows of one page's spans, boxed ones first and in order of their centre."""
+    ys, hs, boxed = page["yc"].astype(float), page["h"].astype(float), page["boxed"].astype(bool)
+    number = np.empty(len(ys), dtype=np.int64)
+    row, total, count, height = -1, 0.0, 0, 0.0
+    for k in range(len(ys)):
+        if boxed[k] and count and abs(ys[k] - total / count) <= 0.5 * max(height, hs[k]):
+            total, count, height = total + ys[k], count + 1, max(height, hs[k])
+        else:
+            row += 1
+            total, count, height = (ys[k], 1, hs[k]) if boxed[k] else (0.0, 0, 0.0)
+        number[k] = row
+    return {c: page[c] for c in (*PAGE, "span_index", "text", "norm", "x0", "xc")} | {"yc": np.where(boxed, ys, np.nan), "h": np.where(boxed, hs, np.nan), "row": number}
+
+
+def cluster_rows(spans: DataFrame, normalised: bool = False) -> DataFrame:
     """Visual rows of every page: ``row, y, height, text, members``.
 
     Spans in order of their centre join the last row while they stay within half
     the larger height of the row's mean centre; the mean and the largest height
-    move with each one, so this is a fold over the sorted page, not a gap rule.
-    A page is one group by nature. Spans without box follow as rows of their own;
-    empty ones are dropped."""
+    move with each one, so this is a fold over the sorted page, not a gap rule:
+    one pass over Arrow batches, linear in the page. Spans without box follow as
+    rows of their own; empty ones are dropped. With ``normalised`` the text is in
+    the form claims are compared in, and ``parts`` holds each span's index, text
+    in that form and centre, ``said`` the row as written."""
     boxed = F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("y1").isNotNull()
-    item = F.struct(
-        ((F.col("y0") + F.col("y1")) / 2).alias("y"), F.col("x0").alias("x"), F.col("span_index").alias("i"),
-        (F.col("y1") - F.col("y0")).alias("h"), F.coalesce("text", F.lit("")).alias("t"),
-    )
-    pages = spans.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.when(boxed, item))).alias("located"), F.sort_array(F.collect_list(F.when(~boxed & (F.trim("text") != ""), F.struct(F.col("span_index").alias("i"), F.col("text").alias("t"))))).alias("loose"))
-    empty = F.array().cast("array<struct<sum:double,n:int,h:double,members:array<struct<x:double,i:int,t:string>>>>")
-
-    def member(s: Column) -> Column:
-        return F.array(F.struct(s["x"].alias("x"), s["i"].alias("i"), s["t"].alias("t")))
-
-    def step(rows: Column, s: Column) -> Column:
-        last = F.try_element_at(rows, F.lit(-1))
-        near = F.abs(s["y"] - last["sum"] / last["n"]) <= 0.5 * F.greatest(last["h"], s["h"])
-        grown = F.struct((last["sum"] + s["y"]).alias("sum"), (last["n"] + 1).alias("n"), F.greatest(last["h"], s["h"]).alias("h"), F.concat(last["members"], member(s)).alias("members"))
-        own = F.struct(s["y"].alias("sum"), F.lit(1).alias("n"), s["h"].alias("h"), member(s).alias("members"))
-        return F.when((F.size(rows) > 0) & near, F.concat(F.slice(rows, 1, F.greatest(F.size(rows) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(rows, F.array(own)))
-
-    pages = pages.withColumn("rows", F.aggregate("located", empty, step))
-    made = F.transform("rows", lambda r: F.struct((r["sum"] / r["n"]).alias("y"), r["h"].alias("height"), F.array_sort(r["members"]).alias("m")))
-    made = F.transform(made, lambda r: F.struct(r["y"].alias("y"), r["height"].alias("height"), F.array_join(F.transform(r["m"], lambda m: m["t"]), " ").alias("text"), F.transform(r["m"], lambda m: m["i"]).alias("members")))
-    loose = F.transform("loose", lambda s: F.struct(F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("height"), s["t"].alias("text"), F.array(s["i"]).alias("members")))
-    out = pages.select(*PAGE, F.posexplode(F.concat(made, loose)).alias("row", "r"))
-    return out.select(*PAGE, "row", "r.y", "r.height", "r.text", "r.members").where(F.trim("text") != "")
+    told = F.coalesce("text", F.lit(""))
+    items = spans.where(boxed | (F.trim(told) != "")).select(
+        *PAGE, "span_index", told.alias("text"), (T.normalise(told) if normalised else told).alias("norm"), "x0", ((F.col("x0") + F.col("x1")) / 2).alias("xc"),
+        ((F.col("y0") + F.col("y1")) / 2).alias("yc"), (F.col("y1") - F.col("y0")).alias("h"), boxed.alias("boxed"), (~boxed).alias("_last"))
+    rows = map_groups(items, PAGE, ["_last", "yc", "x0", "span_index"], _row_numbers, f"{_PAGE_TYPES}, span_index int, text string, norm string, x0 double, xc double, yc double, h double, row long")
+    part = F.struct("x0", F.col("span_index").alias("i"), "text", "norm", "xc")
+    made = rows.groupBy(*PAGE, "row").agg(F.avg("yc").alias("y"), F.max("h").alias("height"), F.array_sort(F.collect_list(part)).alias("m"))
+    joined = lambda field: F.array_join(F.transform("m", lambda m: m[field]), " ")
+    parts = F.transform("m", lambda m: F.struct(m["i"].alias("i"), T.edges(m["norm"]).alias("t"), m["xc"].alias("x")))
+    said = F.array_join(F.filter(F.transform("m", lambda m: F.trim(m["text"])), lambda t: t != ""), " ")
+    text = T.edges(joined("norm")) if normalised else joined("text")
+    out = made.select(*PAGE, F.col("row").cast("int").alias("row"), "y", "height", text.alias("text"), F.transform("m", lambda m: m["i"]).alias("members"), *([parts.alias("parts"), said.alias("said")] if normalised else []))
+    return out.where(F.trim("text") != "")
 
 
 def merge_words(words: DataFrame) -> DataFrame:
@@ -69,13 +80,15 @@ def merge_words(words: DataFrame) -> DataFrame:
     return spans.drop("_g").withColumn("line", F.bround((F.col("y0") + F.col("y1")) / 2 / 8, 0)).orderBy("line", "x0")
 
 
-def row_windows(rows: DataFrame, longest: int = 3) -> DataFrame:
-    """All runs of one to ``longest`` rows of a page: ``row, rows, text``."""
+def row_windows(rows: DataFrame, text: str = "text", longest: int = 3) -> DataFrame:
+    """All runs of one to ``longest`` rows of a page: ``row, rows`` and ``text``,
+    which may be an array."""
     w = Window.partitionBy(*PAGE).orderBy("row")
-    ahead = rows.withColumns({f"_{k}": F.lead("text", k).over(w) for k in range(1, longest)})
-    texts = [F.col("text"), *[F.col(f"_{k}") for k in range(1, longest)]]
-    runs = F.array(*[F.when(texts[k].isNotNull(), F.struct(F.lit(k + 1).alias("rows"), F.concat_ws(" ", *texts[: k + 1]).alias("t"))) for k in range(longest)])
-    return ahead.select(*PAGE, "row", F.explode(F.array_compact(runs)).alias("r")).select(*PAGE, "row", "r.rows", F.col("r.t").alias("text"))
+    ahead = rows.withColumns({f"_{k}": F.lead(text, k).over(w) for k in range(1, longest)})
+    texts = [F.col(text), *[F.col(f"_{k}") for k in range(1, longest)]]
+    join = F.concat if dict(rows.dtypes)[text].startswith("array") else lambda *parts: F.concat_ws(" ", *parts)
+    runs = F.array(*[F.when(texts[k].isNotNull(), F.struct(F.lit(k + 1).alias("rows"), join(*texts[: k + 1]).alias("t"))) for k in range(longest)])
+    return ahead.select(*PAGE, "row", F.explode(F.array_compact(runs)).alias("r")).select(*PAGE, "row", "r.rows", F.col("r.t").alias(text))
 
 
 def latest_before(df: DataFrame, keys: list[str], order: list[str], keep: Column, value: Column, out: str) -> DataFrame:
@@ -112,16 +125,18 @@ def band_counts(df: DataFrame, keys: list[str], at: str, width: int) -> DataFram
     return df.withColumn("near", F.count(F.lit(1)).over(w) - 1)
 
 
-def mentions(windows: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Windows of rows that hold a phrase (``phrase``: stems joined by spaces).
+def mentions(windows: DataFrame, phrases: list[str]) -> DataFrame:
+    """Windows of rows (``stems``) that hold a phrase (stems joined by spaces).
+
+    Windows are exploded to their runs of stems of the phrases' sizes, whatever
+    sizes these are, and met with the phrases; the number of phrases does not
+    multiply the rows."""
+    sizes = sorted({len(p.split(" ")) for p in phrases})
+    spark = windows.sparkSession
+    wanted = spark.createDataFrame([(p,) for p in sorted(set(phrases))], "phrase string")
+    def runs_of(n: int) -> Column:
+        return F.when(F.size("stems") >= n, F.transform(F.sequence(F.lit(1), F.size("stems") - n + 1), lambda i: F.array_join(F.slice("stems", i, n), " ")))
 
-    Windows are exploded to their n-grams of stems and joined on the phrase, so
-    the number of phrases does not multiply the rows."""
-    sizes = [r[0] for r in phrases.select(F.size(F.split("phrase", " "))).distinct().limit(16).collect()]
-    words = T.stems(T.tokens(T.normalise(F.col("text"))))
-    grams = F.array().cast("array<string>")
-    for n in sizes:
-        runs = F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i, n=n: F.array_join(F.slice("_w", i, n), " ")))
-        grams = F.concat(grams, F.coalesce(runs, F.array().cast("array<string>")))
-    rows = windows.withColumn("_w", words).withColumn("phrase", F.explode(F.array_distinct(grams))).drop("_w")
-    return rows.join(phrases, "phrase")
+    none = F.array().cast("array<string>")
+    grams = F.array_distinct(F.concat(none, *[F.coalesce(runs_of(n), none) for n in sizes]))
+    return windows.withColumn("phrase", F.explode(grams)).join(small_side(wanted), "phrase")

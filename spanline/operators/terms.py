@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 
 # States of a match, strongest first.
 RANKS = {"mapped": 0, "raw": 0, "inflected": 1, "auto-mapped": 2, "ambiguous": 3}
@@ -30,7 +33,8 @@ def match(labels: DataFrame, label: str, words: DataFrame, scope: list[str] | No
     inflected; a proposal is auto-mapped. The strongest state of a concept wins.
     Both joins are equi-joins on keys of distinct labels."""
     d = labels.select(F.col(label).alias("label")).where(F.col(label).isNotNull()).distinct()
-    d = d.select("label", T.label_key(F.col("label")).alias("key"), T.stem_key(F.col("label")).alias("stem_key")).where(F.col("key") != "")
+    # keyed once, for all joins
+    d = written(d.select("label", T.label_key(F.col("label")).alias("key"), T.stem_key(F.col("label")).alias("stem_key")).where(F.col("key") != ""), "match-labels")
     if decisions is not None:
         accepted = decisions.where("verdict = 'accepted'")
         words = words.unionByName(accepted.select("concept_id", F.lit(None).cast("string").alias("kind"), "key", F.col("key").alias("stem_key")))
@@ -69,16 +73,58 @@ def propose(labels: DataFrame, label: str, words: DataFrame) -> DataFrame:
     return hits.join(equal, ["_all", "concept_id"], "left_anti").select("label", "concept_id").distinct()
 
 
-def resolve(words: DataFrame, groups: DataFrame, kind: str, term: str) -> list[str]:
-    """Concepts a query term means: members of a group of that name, else concepts
-    of the kind with that term, exactly or inflected. The list is bounded by the
-    dictionary."""
+@dataclass(frozen=True)
+class Scope:
+    """What a query term means: its concepts, the group that named them, and the
+    stem keys of all their terms and of the term itself. Bounded by the dictionary."""
+
+    concepts: tuple[str, ...]
+    group: str | None
+    phrases: tuple[str, ...]
+
+
+def resolve(words: DataFrame, groups: DataFrame, kind: str, term: str, proposals: DataFrame | None = None) -> Scope:
+    """The scope of a query term.
+
+    Concepts are the members of groups of the kind whose name (letter case and
+    underscores aside) or term it is, the concepts of the kind with such a term,
+    exactly or inflected, with hyphens as they are or as spaces, and those of
+    equal proposals of whatever kind. ``groups`` holds ``kind, name, member`` and
+    may hold ``group_term``. A term nobody knows has no concepts."""
     spark = words.sparkSession
-    q = spark.createDataFrame([(term,)], "t string").select(T.label_key(F.col("t")).alias("key"), T.stem_key(F.col("t")).alias("stem_key")).first()
-    of_group = groups.where((F.col("kind") == kind) & F.lower(F.translate("name", "_", "-")).isin(term.lower().replace("_", "-"), q["key"])).select("member")
-    found = sorted(r[0] for r in of_group.distinct().collect())
-    if found:
-        return found
-    same = words.where(F.col("kind") == kind)
-    exact = sorted(r[0] for r in same.where(F.col("key") == q["key"]).select("concept_id").distinct().collect())
-    return exact or sorted(r[0] for r in same.where(F.col("stem_key") == q["stem_key"]).select("concept_id").distinct().collect())
+    typed = spark.createDataFrame([(term,), (term.replace("-", " "),)], "t string")
+    keys = typed.select(T.label_key(F.col("t")).alias("key"), T.stem_key(F.col("t")).alias("stem_key")).distinct().collect()
+    exact, stems = sorted({r["key"] for r in keys if r["key"]}), sorted({r["stem_key"] for r in keys if r["stem_key"]})
+    named = F.replace(F.lower("name"), F.lit("_"), F.lit("-")) == term.lower().replace("_", "-")
+    if "group_term" in groups.columns:
+        named = named | F.coalesce(T.stem_key(F.col("group_term")).isin(stems), F.lit(False))
+    of_group = groups.where((F.col("kind") == kind) & named).select("name", "member").distinct().collect()
+    same = words.where((F.col("kind") == kind) & (F.col("key").isin(exact) | F.col("stem_key").isin(stems))).select("concept_id")
+    if proposals is not None:
+        keyed = proposals.select("concept_id", "key", T.stem_key(F.col("key")).alias("stem_key"))
+        same = same.union(keyed.where(F.col("key").isin(exact) | F.col("stem_key").isin(stems)).select("concept_id"))
+    concepts = tuple(sorted({r["member"] for r in of_group} | {r[0] for r in same.distinct().collect()}))
+    terms = words.where(F.col("concept_id").isin(list(concepts))).select("stem_key").distinct().collect() if concepts else []
+    return Scope(concepts, max((r["name"] for r in of_group), default=None), tuple(sorted({*stems, *(r[0] for r in terms if r[0])})))
+
+
+def members_of(groups: DataFrame, name: str = "name", member: str = "member") -> DataFrame:
+    """``name, members, n``: groups with their distinct members in order."""
+    g = groups.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.sort_array(F.collect_set(member)).alias("members"))
+    return g.withColumn("n", F.size("members").cast("long"))
+
+
+def with_verdicts(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Proposals with the verdict in force on each, null while pending; rejected
+    and accepted ones stay listed."""
+    verdicts = decisions.select("key", "concept_id", "verdict")
+    return proposals.join(verdicts, ["key", "concept_id"], "left")
+
+
+def snapshot(seed: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The dictionary in force: the seed's terms and the accepted ones."""
+    words = dictionary(seed)
+    accepted = decisions.where("verdict = 'accepted'").select("concept_id", "key")
+    kinds = seed.select("concept_id", "kind").distinct()
+    more = accepted.join(kinds, "concept_id").select("concept_id", "kind", "key", T.stem_key(F.col("key")).alias("stem_key"))
+    return words.unionByName(more).distinct()

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from ..functions import rows as R
 from ..functions import text as T
 from ..functions import values as V
+from ..operators import coverage, grounding, guard, history, inventory, layout, terms
 from ..operators import facts as X
-from ..operators import grounding, guard, history, inventory, layout, terms
 from ..session import load
 
 QUERIES: dict = {}
@@ -42,8 +43,8 @@ FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")
 def content_dedup(spark, sf):
     """Texts that occur more than once, with all their ids (G1)."""
     d = load(spark, sf, "documents").where(F.col("text").isNotNull()).select(F.sha2("text", 256).alias("content_hash"), "doc_id")
-    g = d.groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.sort_array(F.collect_list("doc_id")).alias("i"))
-    return g.where("copies > 1").select("content_hash", "copies", "first_id", F.array_join(F.transform("i", lambda x: x.cast("string")), ",").alias("ids"))
+    g = inventory.same_content(d, "doc_id")
+    return g.where("copies > 1").select("content_hash", "copies", F.col("members")[0].alias("first_id"), F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query("""
@@ -180,8 +181,17 @@ def facts_with_sources(spark, sf):
 SELECT c.c_custkey, count(o.o_orderkey) AS orders FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY 1""")
 def left_counts(spark, sf):
     """Parents with the number of their children, none counted as 0."""
-    o = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("orders"))
-    return load(spark, sf, "customer").select("c_custkey").join(o, "c_custkey", "left").fillna(0, ["orders"])
+    orders = load(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return inventory.with_counts(load(spark, sf, "customer").select("c_custkey"), orders, "c_custkey", "orders")
+
+
+@query("""
+SELECT g.generation_id, count(i.relative_path) AS source_count FROM (SELECT DISTINCT generation_id FROM inventory UNION SELECT 'gen-9999') g LEFT JOIN inventory i USING (generation_id) GROUP BY 1""")
+def generation_counts(spark, sf):
+    """Generations with the number of their sources, none counted as 0."""
+    inv = load(spark, sf, "inventory")
+    known = inv.select("generation_id").where(F.col("generation_id").isNotNull()).distinct().union(spark.createDataFrame([("gen-9999",)], "generation_id string"))
+    return inventory.with_counts(known, inv, "generation_id", "source_count")
 
 
 UNITS = """
@@ -196,7 +206,7 @@ def unit_outcomes(spark, sf):
     return X.unit_outcomes(load(spark, sf, "spans")).withColumn("warnings", F.array_join("warnings", ","))
 
 
-@query(UNITS + " SELECT content_hash, unit_number, status FROM o WHERE status <> 'completed' OR list_has_any(warnings, ['TEXT_LOCATION_UNAVAILABLE', 'TEXT_LAYER_LOW_QUALITY', 'OCR_REQUIRED'])")
+@query(UNITS + " SELECT content_hash, unit_number, status FROM o WHERE status <> 'completed' OR list_has_any(warnings, ['HANDWRITING_NOT_INTERPRETED', 'MISSING_CONTEXT', 'POSSIBLE_INCOMPLETE_TABLE_EXTRACTION', 'VISION_ITEMS_DROPPED', 'TEXT_LAYER_COVERAGE_UNVERIFIED'])")
 def coverage_units(spark, sf):
     """Pages that need a coverage warning."""
     return X.coverage_units(X.unit_outcomes(load(spark, sf, "spans"))).select("content_hash", "unit_number", "status")
@@ -298,92 +308,108 @@ def value_parse(spark, sf):
     return load(spark, sf, "lab_facts").select("fact_id", V.parse_value(F.col("raw_value")).alias("v")).select("fact_id", "v.comparator", F.col("v.number").cast("double").alias("number"), "v.qualitative")
 
 
-STEM = """CASE WHEN length(w) < 5 THEN w WHEN regexp_matches(w, '^[a-z0-9]+$') THEN CASE WHEN w LIKE '%ies' THEN left(w, length(w) - 3) || 'y' WHEN w LIKE '%ss' THEN w WHEN w LIKE '%s' THEN left(w, length(w) - 1) ELSE w END
+STEM = """CASE WHEN length(w) < 5 THEN w WHEN regexp_matches(w, '^[a-z0-9''/.-]+$') THEN CASE WHEN w LIKE '%ies' THEN left(w, length(w) - 3) || 'y' WHEN w LIKE '%ss' THEN w WHEN w LIKE '%s' THEN left(w, length(w) - 1) ELSE w END
  WHEN regexp_matches(w, '[Ѐ-ӿ]') THEN CASE """ + " ".join(
     f"WHEN length(w) - {len(g.split()[0])} >= 4 AND right(w, {len(g.split()[0])}) IN ({', '.join(repr(e) for e in g.split())}) THEN left(w, length(w) - {len(g.split()[0])})" for g in T.ENDINGS
 ) + " ELSE w END ELSE w END"
 
 
 @query(f"""
-WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(term_label), '[\\p{{L}}\\p{{N}}]+')) AS w FROM concept_terms) SELECT w AS word, {STEM} AS stem FROM t""")
+WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(replace(lower(term_label), 'ё', 'е'), '[\\p{{L}}\\p{{N}}_'']+(?:[-/.][\\p{{L}}\\p{{N}}_'']+)*')) AS w FROM concept_terms) SELECT w AS word, {STEM} AS stem FROM t""")
 def stem_tokens(spark, sf):
     """Stems of the words of all terms."""
-    words = load(spark, sf, "concept_terms").select(F.explode(F.regexp_extract_all(F.lower("term_label"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word")).distinct()
+    words = load(spark, sf, "concept_terms").select(F.explode(T.tokens(T.normalise(F.col("term_label")))).alias("word")).distinct()
     return words.select("word", T.stem(F.col("word")).alias("stem"))
 
 
-@query("""
-WITH t AS (SELECT DISTINCT lower(term_label) AS term FROM concept_terms WHERE regexp_matches(term_label, '^[\\p{L}]+$')),
-d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents)
-SELECT term, count(*) AS documents FROM d JOIN t USING (term) GROUP BY 1""")
+SIMPLE = "NOT regexp_matches(text, '[^\\x00-\\x7FЀ-џҐґ]|[A-Za-z][Ѐ-џҐґ]|[Ѐ-џҐґ][A-Za-z]')"
+
+
+@query(f"""
+WITH t AS (SELECT DISTINCT replace(lower(term_label), 'ё', 'е') AS term FROM concept_terms WHERE regexp_matches(term_label, '^[\\p{{L}}]+$')),
+d AS (SELECT DISTINCT span_id, unnest(string_split_regex(replace(lower(text), 'ё', 'е'), '[^\\p{{L}}\\p{{N}}_.]+')) AS part FROM spans WHERE {SIMPLE}),
+w AS (SELECT DISTINCT span_id, regexp_extract(part, '^([\\p{{L}}\\p{{N}}_]+)', 1) AS term FROM d WHERE NOT regexp_matches(part, '^[\\p{{L}}\\p{{N}}_]+[.][0-9]'))
+SELECT term, count(*) AS spans FROM w JOIN t USING (term) GROUP BY 1""")
 def token_hits(spark, sf):
-    """Documents that hold each one-word term as a token."""
-    t = load(spark, sf, "concept_terms").where(F.col("term_label").rlike(r"^\p{L}+$")).select(F.lower("term_label").alias("term")).distinct()
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    return load(spark, sf, "documents").select(F.explode(words).alias("term")).join(t, "term").groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
+    """Plainly written lines that hold each one-word term as a token."""
+    t = load(spark, sf, "concept_terms").where(F.col("term_label").rlike(r"^\p{L}+$")).select(T.normalise(F.col("term_label")).alias("term")).distinct()
+    d = load(spark, sf, "spans").where(F.col("text").rlike(T.SIMPLE) & ~F.col("text").rlike(T.MIXED)).select("span_id", T.normalise(F.col("text")).alias("text"))
+    words = d.withColumn("term", F.explode(F.array_distinct(R.word_runs(F.col("text"))))).join(t, "term")
+    return words.where(T.contains_token(F.col("text"), F.col("term"))).groupBy("term").agg(F.count_distinct("span_id").alias("spans"))
 
 
 @query("""
-WITH t AS (SELECT DISTINCT lower(term_label) AS phrase FROM concept_terms WHERE regexp_matches(term_label, '^[\\p{L}]+ [\\p{L}]+$')),
-w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS a FROM documents),
+WITH t AS (SELECT DISTINCT lower(term_label) AS phrase FROM concept_terms WHERE regexp_matches(term_label, '^[a-zA-Z]+ [a-zA-Z]+$')),
+w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_'']+(?:[-/.][\\p{L}\\p{N}_'']+)*') AS a FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')),
 g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) AS phrase FROM w)
 SELECT phrase, count(*) AS documents FROM g JOIN t USING (phrase) GROUP BY 1""")
 def phrase_hits(spark, sf):
-    """Documents in which the words of a two-word term follow one another (F8)."""
-    t = load(spark, sf, "concept_terms").where(F.col("term_label").rlike(r"^\p{L}+ \p{L}+$")).select(F.lower("term_label").alias("phrase")).distinct()
-    w = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    grams = F.when(F.size(w) > 1, F.array_distinct(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))))
-    return load(spark, sf, "documents").select(F.explode(grams).alias("phrase")).join(t, "phrase").groupBy("phrase").agg(F.count(F.lit(1)).alias("documents"))
+    """ASCII documents in which the words of a two-word term follow one another (F8)."""
+    t = load(spark, sf, "concept_terms").where(F.col("term_label").rlike("^[a-zA-Z]+ [a-zA-Z]+$")).select(T.normalise(F.col("term_label")).alias("phrase")).distinct()
+    d = load(spark, sf, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    d = d.select("doc_id", T.tokens(T.normalise(F.col("text"))).alias("words"))
+    first = d.withColumn("_w", F.explode(F.array_distinct("words"))).join(t.withColumn("_w", F.split("phrase", " ")[0]), "_w")
+    return first.where(T.contains_phrase(F.col("words"), F.split("phrase", " "))).groupBy("phrase").agg(F.count_distinct("doc_id").alias("documents"))
 
 
-TERMS = (
-    ("C1", "anvil"), ("C1", "red anvil"), ("C2", "large gears"), ("C2", "gear"), ("C3", "old ring"), ("C4", "old ring"), ("C5", "cold widgets"), ("C5", "blue bolts"), ("C6", "hot rod"), ("C6", "hot plate"),
-)
-REJECTED = (("hot rod", "C6"),)
-PROPOSED = (("new rod", "C6"), ("red anvil", "C6"))
+REJECTED = (("glucose", "A107"),)
+PROPOSED = (("urate", "A107"), ("hct", "A101"))
 
 
-def _words(spark: SparkSession) -> DataFrame:
-    return terms.dictionary(spark.createDataFrame([(c, "part", w) for c, w in TERMS], "concept_id string, kind string, term_label string"))
+def _words(spark: SparkSession, sf: str) -> DataFrame:
+    return terms.dictionary(load(spark, sf, "concept_terms"))
 
 
-def _values(rows, names: str) -> str:
-    return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows) + f") v({names})"
+def _values(rows, names: str, alias: str = "v") -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows) + f") {alias}({names})"
+
+
+TOKENS = "regexp_extract_all(replace(replace({0}, 'ё', 'е'), '`', chr(39)), '[\\p{{L}}\\p{{N}}_'']+(?:[-/.][\\p{{L}}\\p{{N}}_'']+)*')"
+
+
+def _key(label: str) -> str:
+    return "array_to_string(" + TOKENS.format(f"lower({label})") + ", ' ')"
 
 
 def _stems(label: str) -> str:
-    return f"array_to_string(list_transform(string_split({label}, ' '), lambda w: {STEM}), ' ')"
+    return "array_to_string(list_transform(" + TOKENS.format(f"lower({label})") + f", lambda w: {STEM}), ' ')"
+
+
+#: Labels written plainly: SQL has no compatibility forms or look-alikes.
+PLAIN_LABEL = "NOT regexp_matches(raw_label, '[^\\x00-\\x7FЀ-џҐґ]|[A-Za-z][Ѐ-џҐґ]|[Ѐ-џҐґ][A-Za-z]|[0-9],[0-9]')"
 
 
 @query(f"""
-WITH t AS (SELECT *, {_stems('key')} AS stem_key FROM {_values(TERMS, 'concept_id, key')}), l AS (SELECT DISTINCT p_name AS label, {_stems('p_name')} AS stem_key FROM part),
+WITH t AS (SELECT DISTINCT concept_id, {_key('term_label')} AS key, {_stems('term_label')} AS stem_key FROM concept_terms),
+l AS (SELECT DISTINCT raw_label AS label, {_key('raw_label')} AS key, {_stems('raw_label')} AS stem_key FROM lab_facts WHERE {PLAIN_LABEL}),
 h AS (SELECT key, count(DISTINCT concept_id) AS holders FROM t GROUP BY 1),
-x AS (SELECT l.label, t.concept_id, CASE WHEN holders > 1 THEN 3 ELSE 0 END AS r FROM l JOIN t ON l.label = t.key JOIN h ON h.key = t.key
- UNION ALL SELECT l.label, t.concept_id, 1 FROM l JOIN t ON l.stem_key = t.stem_key UNION ALL SELECT l.label, p.concept_id, 2 FROM l JOIN {_values(PROPOSED, 'key, concept_id').replace(' v(', ' p(')} ON l.label = p.key)
+x AS (SELECT l.label, l.key, t.concept_id, CASE WHEN holders > 1 THEN 3 ELSE 0 END AS r FROM l JOIN t ON l.key = t.key JOIN h ON h.key = t.key
+ UNION ALL SELECT l.label, l.key, t.concept_id, 1 FROM l JOIN t ON l.stem_key = t.stem_key UNION ALL SELECT l.label, l.key, p.concept_id, 2 FROM l JOIN {_values(PROPOSED, 'key, concept_id', 'p')} ON l.key = p.key)
 SELECT label, concept_id, CASE min(r) WHEN 0 THEN 'mapped' WHEN 1 THEN 'inflected' WHEN 2 THEN 'auto-mapped' ELSE 'ambiguous' END AS status FROM x
-WHERE (label, concept_id) NOT IN (SELECT * FROM {_values(REJECTED, 'a, b')}) GROUP BY 1, 2""")
+WHERE key <> '' AND (key, concept_id) NOT IN (SELECT * FROM {_values(REJECTED, 'a, b')}) GROUP BY 1, 2""")
 def term_match(spark, sf):
-    """Labels against the dictionary, with rejections, proposals and ambiguity."""
+    """Plainly written labels against the dictionary, with rejections, proposals and ambiguity."""
     decisions = spark.createDataFrame([(k, c, "rejected") for k, c in REJECTED], "key string, concept_id string, verdict string")
     proposals = spark.createDataFrame(list(PROPOSED), "key string, concept_id string")
-    return terms.match(load(spark, sf, "part"), "p_name", _words(spark), decisions=decisions, proposals=proposals)
+    labels = load(spark, sf, "lab_facts").where(~F.col("raw_label").rlike(r"[^\x00-\x7FЀ-џҐґ]|[A-Za-z][Ѐ-џҐґ]|[Ѐ-џҐґ][A-Za-z]|[0-9],[0-9]"))
+    return terms.match(labels, "raw_label", _words(spark, sf), decisions=decisions, proposals=proposals)
 
 
 @query(f"""
-WITH t AS (SELECT DISTINCT concept_id, {_stems('key')} AS stem_key FROM {_values(TERMS, 'concept_id, key')}), l AS (SELECT DISTINCT p_name AS label, {_stems('p_name')} AS s FROM part)
+WITH t AS (SELECT DISTINCT concept_id, {_stems('term_label')} AS stem_key FROM concept_terms), l AS (SELECT DISTINCT raw_label AS label, {_stems('raw_label')} AS s FROM lab_facts WHERE {PLAIN_LABEL})
 SELECT DISTINCT label, concept_id FROM l JOIN t ON contains(' ' || s || ' ', ' ' || stem_key || ' ')
-WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.concept_id = t.concept_id AND u.stem_key = l.s)""")
+WHERE contains(s, ' ') AND NOT EXISTS (SELECT 1 FROM t u WHERE u.concept_id = t.concept_id AND u.stem_key = l.s)""")
 def propose_terms(spark, sf):
-    """Labels that hold a term without being it."""
-    return terms.propose(load(spark, sf, "part"), "p_name", _words(spark))
+    """Plainly written labels that hold a term without being it."""
+    labels = load(spark, sf, "lab_facts").where(~F.col("raw_label").rlike(r"[^\x00-\x7FЀ-џҐґ]|[A-Za-z][Ѐ-џҐґ]|[Ѐ-џҐґ][A-Za-z]|[0-9],[0-9]"))
+    return terms.propose(labels, "raw_label", _words(spark, sf))
 
 
 @query("""
-SELECT p_type AS name, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS members, count(DISTINCT p_brand) AS n FROM part GROUP BY 1""")
+SELECT p_type AS name, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS members, count(DISTINCT p_brand) AS n FROM part WHERE p_type IS NOT NULL GROUP BY 1""")
 def group_members(spark, sf):
     """Groups with their members."""
-    g = load(spark, sf, "part").groupBy(F.col("p_type").alias("name")).agg(F.sort_array(F.collect_set("p_brand")).alias("m"))
-    return g.select("name", F.array_join("m", ",").alias("members"), F.size("m").cast("long").alias("n"))
+    return terms.members_of(load(spark, sf, "part"), "p_type", "p_brand").withColumn("members", F.array_join("members", ","))
 
 
 @query("SELECT unit, count(*) AS n FROM lab_facts WHERE unit IS NOT NULL GROUP BY 1")
@@ -552,25 +578,175 @@ def history_mentions(spark, sf):
     return r.mentions
 
 
-@query()
+@query("""
+WITH RECURSIVE s AS (SELECT content_hash, unit_number, span_index, text, x0, (y0 + y1) / 2 AS y, y1 - y0 AS h, x0 IS NOT NULL AND y0 IS NOT NULL AND y1 IS NOT NULL AS boxed FROM spans),
+o AS (SELECT *, row_number() OVER (PARTITION BY content_hash, unit_number ORDER BY y, x0, span_index) AS n FROM s WHERE boxed),
+f AS (SELECT content_hash, unit_number, n, 0 AS row, y AS total, 1 AS k, h FROM o WHERE n = 1
+ UNION ALL SELECT o.content_hash, o.unit_number, o.n, CASE WHEN abs(o.y - f.total / f.k) <= 0.5 * greatest(f.h, o.h) THEN f.row ELSE f.row + 1 END,
+ CASE WHEN abs(o.y - f.total / f.k) <= 0.5 * greatest(f.h, o.h) THEN f.total + o.y ELSE o.y END, CASE WHEN abs(o.y - f.total / f.k) <= 0.5 * greatest(f.h, o.h) THEN f.k + 1 ELSE 1 END,
+ CASE WHEN abs(o.y - f.total / f.k) <= 0.5 * greatest(f.h, o.h) THEN greatest(f.h, o.h) ELSE o.h END
+ FROM f JOIN o ON o.content_hash = f.content_hash AND o.unit_number = f.unit_number AND o.n = f.n + 1),
+b AS (SELECT o.content_hash, o.unit_number, f.row, string_agg(coalesce(o.text, ''), ' ' ORDER BY o.x0, o.span_index) AS text, count(*) AS spans FROM o JOIN f USING (content_hash, unit_number, n) GROUP BY 1, 2, 3),
+m AS (SELECT content_hash, unit_number, max(row) + 1 AS first FROM f GROUP BY 1, 2),
+l AS (SELECT s.content_hash, s.unit_number, coalesce(m.first, 0) + row_number() OVER (PARTITION BY s.content_hash, s.unit_number ORDER BY span_index) - 1 AS row, text, 1 AS spans
+ FROM s LEFT JOIN m USING (content_hash, unit_number) WHERE NOT boxed AND trim(text) <> '')
+SELECT * FROM (SELECT * FROM b UNION ALL SELECT * FROM l) WHERE trim(text) <> ''""")
 def row_clusters(spark, sf):
     """Visual rows of all pages."""
     return layout.cluster_rows(load(spark, sf, "spans")).select("content_hash", "unit_number", "row", "text", F.size("members").alias("spans"))
 
 
+def _text(column: str) -> F.Column:
+    return F.array_join(F.transform(column, lambda x: x.cast("string")), ",")
+
+
 @query()
 def ground_labs(spark, sf):
-    """Lab claims checked against their pages."""
-    return grounding.ground_labs(load(spark, sf, "lab_facts"), load(spark, sf, "spans"))
+    """Lab claims checked against their pages."""
+    g = grounding.ground_labs(load(spark, sf, "lab_facts"), grounding.page_rows(load(spark, sf, "spans")))
+    return g.select("fact_id", "grounding", F.array_join("notes", ",").alias("notes"), _text("evidence").alias("evidence"), "alternative_label", _text("alternative_evidence").alias("alternative_evidence"))
+
+
+def _dates(spark: SparkSession, sf: str, rows: DataFrame, roles: dict | None = None) -> DataFrame:
+    d = load(spark, sf, "date_claims")
+    return grounding.reported_dates(d.replace(roles, subset=["date_role"]) if roles else d, rows)
 
 
 @query()
+def page_dates(spark, sf):
+    """Claimed dates located on their pages, and whether their role is borne out."""
+    d = _dates(spark, sf, grounding.page_rows(load(spark, sf, "spans")))
+    return d.select("date_id", "raw", "role", D.format_alternatives(F.col("alternatives")).alias("reading"), "located", "role_supported", _text("evidence").alias("evidence"))
+
+
+@query()
+def interpreted_labs(spark, sf):
+    """Lab facts as their pages and paths bear them out."""
+    rows = grounding.page_rows(load(spark, sf, "spans"))
+    f = grounding.interpret_labs(load(spark, sf, "lab_facts"), _dates(spark, sf, rows), rows, _generation(spark, sf, AFTER))
+    return f.select("fact_id", "verification", F.col("timeline.role").alias("role"), D.format_alternatives(F.col("timeline.alternatives")).alias("dates"), "reference_interval", "flag", "specimen", F.array_join("notes", ",").alias("notes"), _text("evidence").alias("evidence"))
+
+
+@query()
+def interpreted_events(spark, sf):
+    """Events as their pages bear them out; the pages' own dates are taken as the events' (D9, J13, J18, M6)."""
+    rows = grounding.page_rows(load(spark, sf, "spans"))
+    f = grounding.interpret_events(load(spark, sf, "event_facts"), _dates(spark, sf, rows, {"unspecified": "event"}), rows)
+    return f.select("fact_id", "verification", "strength", D.format_alternatives(F.col("timeline.alternatives")).alias("dates"), "alternative_event_type", F.array_join("notes", ",").alias("notes"), _text("evidence").alias("evidence"))
+
+
+@query()
+def uncovered_rows(spark, sf):
+    """Rows of results of which no fact has evidence."""
+    rows = grounding.page_rows(load(spark, sf, "spans"))
+    return grounding.uncovered_rows(rows, load(spark, sf, "lab_facts")).select("content_hash", "unit_number", "row", "text")
+
+
+def _cue_sql() -> str:
+    return ", ".join(f"CASE WHEN regexp_matches(c, '{words.replace(chr(39), chr(39) * 2).replace(' ', '|').replace('_', ' ')}') THEN '{t}' END" for t, words in R.EVENT_CUES.items())
+
+
+TYPES = f"""
+WITH RECURSIVE c AS (SELECT fact_id, list_filter(string_split_regex(trim(regexp_replace(replace(lower(nfc_normalize(coalesce(wording, ''))), 'ё', 'е'), '\\s+', ' ', 'g')), '[.;!?]+'), lambda x: trim(x) <> '') AS parts FROM event_facts),
+k AS (SELECT fact_id, unnest(parts) AS c, generate_subscripts(parts, 1) AS n, len(parts) AS size FROM c),
+o AS (SELECT *, list_filter([{_cue_sql()}], lambda x: x IS NOT NULL) AS own,
+ regexp_matches(c, 'cancel|postpon|reschedul|no[\\s-]?show|did\\s+not\\s+attend|отмен|скасов|перенес|не\\s+состоял|не\\s+відбул|не\\s+явил|не\\s+з''явив') AS gone,
+ regexp_matches(c, '(?:^|\\s)(?:no|not|never|denied|without|neither|nor|не|нет|ні|ни|без|відсут)(?:\\s|$)') AS neg FROM k),
+f AS (SELECT fact_id, 0 AS n, CAST([] AS VARCHAR[]) AS types FROM c
+ UNION ALL SELECT f.fact_id, o.n, CASE WHEN (gone OR neg) AND len(own) > 0 THEN list_filter(types, lambda x: NOT list_contains(own, x)) WHEN gone THEN [] WHEN neg THEN types ELSE list_distinct(list_concat(types, own)) END
+ FROM f JOIN o ON o.fact_id = f.fact_id AND o.n = f.n + 1),
+e AS (SELECT fact_id, max_by(types, n) AS types FROM f GROUP BY 1)
+SELECT fact_id, CASE WHEN list_contains(types, 'recommendation') THEN 'other' ELSE array_to_string(list_sort(list_filter(types, lambda x: NOT (list_has_any(types, ['referral', 'appointment_scheduled', 'appointment_confirmed']) AND x IN ('encounter', 'procedure', 'result')))), ',') END AS types FROM e"""
+
+
+@query(TYPES)
 def wording_types(spark, sf):
     """Event types that wordings imply."""
-    return load(spark, sf, "event_facts").select("fact_id", F.array_join(grounding.wording_types(F.col("wording")), ",").alias("types"))
+    return load(spark, sf, "event_facts").select("fact_id", F.array_join(R.wording_types(F.col("wording")), ",").alias("types"))
 
 
 @query()
 def normalised_labels(spark, sf):
     """Comparable keys of all labels."""
     return load(spark, sf, "lab_facts").select("raw_label").distinct().select("raw_label", T.label_key(F.col("raw_label")).alias("key"), T.stem_key(F.col("raw_label")).alias("stem_key"))
+
+
+def _coverage(spark: SparkSession, sf: str) -> DataFrame:
+    inv, spans, labs = _generation(spark, sf, AFTER), load(spark, sf, "spans"), load(spark, sf, "lab_facts")
+    units = X.unit_outcomes(spans)
+    pages = units.groupBy("content_hash", "file_format").agg(F.max("unit_number").alias("page_count"), F.count(F.lit(1)).alias("unit_count"), F.bool_and(F.col("status") == "completed").alias("whole"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("warnings")))).alias("warnings"))
+    problems = pages.where(~F.col("whole") | (F.col("unit_count") != F.col("page_count"))).withColumn("status", F.lit("partial"))
+    tables = coverage.last_tables(labs.where(F.array_contains("notes", "UNIT_NOT_LOCATED")).withColumn("seq", F.col("fact_id")))
+    sources = inventory.sources_by_content(inv)
+    first = sources.join(labs.where("verification = 'conflicting'").select("content_hash").distinct(), "content_hash", "left_semi").select(F.explode("sources").alias("relative_path"))
+    return coverage.coverage_lines(inv.where("status <> 'ready'"), problems, units, sources, spans, tables, first)
+
+
+COVERAGE = UNITS + """,
+src AS (SELECT content_hash, list_sort(list_distinct(list(relative_path))) AS sources FROM inventory WHERE generation_id = 'gen-0002' AND content_hash IS NOT NULL GROUP BY 1),
+p AS (SELECT content_hash, file_format, max(unit_number) AS page_count, count(*) AS unit_count, bool_and(status = 'completed') AS whole, list_sort(list_distinct(flatten(list(warnings)))) AS warnings FROM o GROUP BY 1, 2),
+n AS (SELECT DISTINCT content_hash FROM lab_facts WHERE verification = 'conflicting'),
+u2 AS (SELECT o.*, coalesce(s.sources[1], 'unknown source') || CASE WHEN len(s.sources) > 1 THEN ' (+' || (len(s.sources) - 1) || ' identical copies)' ELSE '' END AS subject,
+ coalesce(s.sources[1], 'unknown source') || CASE WHEN o.file_format = 'pdf' THEN ' page ' || o.unit_number ELSE ' image' END || CASE WHEN len(s.sources) > 1 THEN ' (+' || (len(s.sources) - 1) || ' identical copies)' ELSE '' END AS place,
+ s.sources IS NOT NULL AND n.content_hash IS NOT NULL AS priority FROM o LEFT JOIN src s USING (content_hash) LEFT JOIN n USING (content_hash)
+ WHERE o.status <> 'completed'),
+tab AS (SELECT content_hash, file_format, unit_number, max_by(evidence, fact_id) AS evidence FROM lab_facts WHERE list_contains(notes, 'UNIT_NOT_LOCATED') GROUP BY 1, 2, 3),
+snip AS (SELECT u2.subject, u2.place, u2.priority, u2.content_hash, u2.unit_number, left(string_agg(trim(s.text), ' | ' ORDER BY s.span_index), 120) AS t FROM u2 JOIN tab USING (content_hash, file_format, unit_number)
+ JOIN spans s ON s.content_hash = tab.content_hash AND s.file_format = tab.file_format AND s.unit_number = tab.unit_number AND list_contains(tab.evidence, s.span_index) GROUP BY 1, 2, 3, 4, 5, u2.file_format)
+SELECT 0 AS section, '' AS subject, CAST(NULL AS INT) AS unit_number, 0 AS kind, false AS priority, 'Not processed: ' || count(*) || ' unsupported files (see scan inventory).' AS line FROM inventory WHERE generation_id = 'gen-0002' AND status <> 'ready' HAVING count(*) > 0
+UNION ALL SELECT 1, subject, NULL, 0, priority, 'File partial: ' || subject || ' (pages known: ' || page_count || '; units recorded: ' || unit_count || CASE WHEN len(warnings) > 0 THEN '; ' || array_to_string(warnings, ', ') ELSE '' END || ')'
+ FROM (SELECT p.*, coalesce(s.sources[1], 'unknown source') || CASE WHEN len(s.sources) > 1 THEN ' (+' || (len(s.sources) - 1) || ' identical copies)' ELSE '' END AS subject, s.sources IS NOT NULL AND n.content_hash IS NOT NULL AS priority
+ FROM p LEFT JOIN src s USING (content_hash) LEFT JOIN n USING (content_hash) WHERE NOT whole OR unit_count <> page_count)
+UNION ALL SELECT 2, subject, unit_number, 1, priority, 'Partially processed: ' || place || ' (' || status || '; ' || array_to_string(list_sort(warnings), ', ') || ')' FROM u2 WHERE status <> 'completed'
+UNION ALL SELECT 2, subject, unit_number, 9, priority, 'Possible incomplete table extraction: ' || place || '; row without a structured result near: ' || t FROM snip"""
+
+
+@query(COVERAGE)
+def coverage_lines(spark, sf):
+    """All messages about what was not read whole."""
+    return _coverage(spark, sf)
+
+
+@query(f"""
+WITH z AS ({COVERAGE}), t AS (SELECT row_number() OVER (ORDER BY priority DESC, section, subject, unit_number NULLS FIRST, kind) AS seq, priority, line FROM z)
+SELECT * FROM t WHERE seq <= 30 UNION ALL SELECT 31, false, '… and ' || (n - 30) || ' more coverage warnings elsewhere in the collection' FROM (SELECT count(*) AS n FROM z) WHERE n > 30""")
+def coverage_warnings(spark, sf):
+    """The thirty messages an answer shows first, and how many more there are: a top-k report."""
+    return coverage.coverage_warnings(_coverage(spark, sf))
+
+
+@query(f"""
+WITH g AS ({SQL['guard_findings']}),
+r AS (SELECT finding, subject, CASE WHEN finding LIKE 'fewer %' THEN '' ELSE detail END AS detail, CASE WHEN finding LIKE 'fewer %' THEN CAST(string_split(detail, ' -> ')[1] AS BIGINT) END AS b, CASE WHEN finding LIKE 'fewer %' THEN CAST(string_split(detail, ' -> ')[2] AS BIGINT) END AS a FROM g)
+SELECT finding, detail, count(*) AS n, CAST(sum(b) AS BIGINT) AS before, CAST(sum(a) AS BIGINT) AS after, array_to_string(list_sort(list_distinct(list(subject)))[1:3], ', ') AS samples FROM r GROUP BY 1, 2""")
+def guard_summary(spark, sf):
+    """Findings of the guard by kind, with sums and three samples."""
+    return coverage.summarise_findings(guard_findings(spark, sf))
+
+
+DISPLAY = """
+WITH src AS (SELECT content_hash, list_sort(list_distinct(list(relative_path))) AS sources FROM inventory WHERE generation_id = 'gen-0002' AND content_hash IS NOT NULL GROUP BY 1)
+SELECT f.fact_id, CASE WHEN coalesce(len(alternatives), 0) = 0 THEN '-' ELSE array_to_string(list_transform(alternatives, lambda a: CASE WHEN a.date_precision = 'year' THEN strftime(a.start_date, '%Y') WHEN a.date_precision = 'month' THEN strftime(a.start_date, '%Y-%m') ELSE strftime(a.start_date, '%Y-%m-%d') END), ' or ') || ' (' || {role} || ')' END AS date_text,
+ {fields}, coalesce(s.sources[1], 'unknown source') || CASE WHEN file_format = 'pdf' THEN ' page ' || unit_number ELSE ' image' END || CASE WHEN len(s.sources) > 1 THEN ' (+' || (len(s.sources) - 1) || ' identical copies)' ELSE '' END AS source
+FROM {facts} f LEFT JOIN src s USING (content_hash)"""
+
+
+@query(DISPLAY.format(facts="lab_facts", role="coalesce(timeline_role, 'None')", fields="""raw_label AS label, raw_value AS value, coalesce(nullif(unit, ''), '-') AS unit, coalesce(nullif(reference_interval, ''), '-') AS reference, coalesce(nullif(flag, ''), '-') AS flag,
+ coalesce(nullif(specimen, ''), '-') AS specimen, CASE WHEN verification = 'unverified reading' THEN 'unverified reading' ELSE '' END AS markers"""))
+def lab_display(spark, sf):
+    """Measurements as an answer shows them."""
+    return coverage.lab_display(load(spark, sf, "lab_facts"), inventory.sources_by_content(_generation(spark, sf, AFTER)))
+
+
+@query(DISPLAY.format(facts="event_facts", role="CASE WHEN planned AND timeline_role = 'event' THEN 'planned' ELSE coalesce(timeline_role, 'None') END", fields="""replace(CASE WHEN recommendation THEN 'other — recommendation' ELSE event_type END, '_', ' ') AS event, raw_specialty AS specialty, left(wording, 80) AS wording,
+ CASE WHEN verification = 'unverified reading' THEN 'unverified reading' || coalesce('; evidence: ' || strength, '') ELSE coalesce('evidence: ' || strength, '') END AS markers"""))
+def event_display(spark, sf):
+    """Events as an answer shows them."""
+    return coverage.event_display(load(spark, sf, "event_facts"), inventory.sources_by_content(_generation(spark, sf, AFTER)))
+
+
+@query("""
+SELECT 'Different units are reported: ' || string_agg(unit || ' (' || n || ')', ', ' ORDER BY unit) || '. Values are shown as written.' AS note FROM (SELECT coalesce(unit, '-') AS unit, count(*) AS n FROM lab_facts WHERE lower(raw_label) = 'glucose' GROUP BY 1) HAVING count(*) > 1""")
+def units_note(spark, sf):
+    """The note on units of one label's rows."""
+    return history.units_note(load(spark, sf, "lab_facts").where("lower(raw_label) = 'glucose'"))

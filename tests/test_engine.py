@@ -15,7 +15,7 @@ from spanline.errors import EngineError
 from spanline.functions import text as T
 from spanline.functions import values as V
 from spanline.operators import facts as X
-from spanline.operators import grounding, layout
+from spanline.operators import layout
 from spanline.plans import catalogue
 from spanline.render import safe, table
 from spanline.sources import files
@@ -95,22 +95,7 @@ def test_merge_words_and_windows(spark):
     words = spark.createDataFrame([(1, 1, 1, 10, 10, 20, 10, "free"), (1, 1, 1, 35, 10, 20, 10, "t4"), (1, 1, 1, 100, 10, 20, 10, "12.5"), (1, 1, 2, 10, 30, 20, 10, "x")], "block_num int, par_num int, line_num int, left int, top int, width int, height int, text string")
     assert [r.text for r in layout.merge_words(words).collect()] == ["free t4", "12.5", "x"]
     rows = spark.createDataFrame([("c", 1, i, t) for i, t in enumerate("abc")], "content_hash string, unit_number int, row int, text string")
-    assert sorted(r.text for r in layout.row_windows(rows).collect()) == ["a", "a b", "a b c", "b", "b c", "c"]
-
-
-def test_grounding(spark):
-    spans = [("c", 1, 0, "Hemoglobin", 10.0, 60.0, 90.0, 70.0), ("c", 1, 1, "13.5", 150.0, 60.0, 180.0, 70.0), ("c", 1, 2, "g/dL 12 - 16", 230.0, 60.0, 300.0, 70.0), ("c", 1, 3, "Urea", 10.0, 90.0, 50.0, 100.0), ("c", 1, 4, "30", 150.0, 90.0, 170.0, 100.0)]
-    df = spark.createDataFrame(spans, "content_hash string, unit_number int, span_index int, text string, x0 double, y0 double, x1 double, y1 double")
-    claims = [(1, "hemoglobin", "13.5", "g/dL"), (2, "hemoglobin", "30", None), (3, "hemoglobin", "12", None), (4, "urea", "30", "mg/dL"), (5, "iron", "7", None), (6, None, None, None)]
-    labs = spark.createDataFrame([(i, "c", 1, a, b, u) for i, a, b, u in claims], "fact_id long, content_hash string, unit_number int, raw_label string, raw_value string, unit string")
-    out = {r.fact_id: r.note for r in grounding.ground_labs(labs, df).collect()}
-    assert out == {1: None, 2: "ASSOCIATION_NOT_LOCATED", 3: "VALUE_NOT_AT_RESULT", 4: "UNIT_NOT_LOCATED", 5: "NOT_LOCATED", 6: "NOT_LOCATED"}
-
-
-def test_wording_types(spark):
-    cases = [("Referred to cardiology for assessment.", ["referral"]), ("Consultation in urology was advised.", ["other"]), ("Declined a visit to urology.", []), ("Seen in urology; plan agreed.", ["encounter"]), ("Appointment booked. Cancelled appointment later.", []), (None, None)]
-    df = spark.createDataFrame([(a,) for a, _ in cases], "w string")
-    assert [r.t for r in df.select(grounding.wording_types(F.col("w")).alias("t")).collect()] == [b for _, b in cases]
+    assert sorted(r.text for r in layout.row_windows(rows, "text").collect()) == ["a", "a b", "a b c", "b", "b c", "c"]
 
 
 def test_latest_and_memo(spark, tmp_path):

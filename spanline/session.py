@@ -84,6 +84,52 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, or ``None`` if there is none."""
+    at, files = _hadoop(spark.sparkContext, path)
+    if not files.exists(at):
+        return None
+    stream = files.open(at)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str, new: bool = False) -> bool:
+    """Writes a small file at once: under another name first, then renamed over
+    the old one. With ``new`` it is created instead, and ``False`` tells that it
+    was there already."""
+    context = spark.sparkContext
+    at, files = _hadoop(context, path)
+    files.mkdirs(at.getParent())
+    if new:
+        try:
+            stream = files.create(at, False)
+        except Exception as e:  # noqa: BLE001 - each file system has its own class for this
+            if files.exists(at):
+                return False
+            raise e
+        stream.write(text.encode())
+        stream.close()
+        return True
+    part, _ = _hadoop(context, f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = files.create(part, True)
+    stream.write(text.encode())
+    stream.close()
+    jvm = context._jvm
+    options = context._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri() if part.toUri().getScheme() else files.getUri(), context._jsc.hadoopConfiguration()).rename(part, at, options)
+    return True
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, if it is there."""
+    at, files = _hadoop(spark.sparkContext, path)
+    files.delete(at, True)
+
+
 @lru_cache(maxsize=100)
 def _cleaned_at_exit(context, base: str) -> None:
     at, files = _hadoop(context, base)

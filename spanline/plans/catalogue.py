@@ -186,12 +186,11 @@ def left_counts(spark, sf):
 
 
 @query("""
-SELECT g.generation_id, count(i.relative_path) AS source_count FROM (SELECT DISTINCT generation_id FROM inventory UNION SELECT 'gen-9999') g LEFT JOIN inventory i USING (generation_id) GROUP BY 1""")
+SELECT g.generation_id, count(i.relative_path) AS failed FROM (SELECT DISTINCT generation_id FROM inventory) g LEFT JOIN (SELECT * FROM inventory WHERE status = 'failed' AND kind = 'symlink') i USING (generation_id) GROUP BY 1""")
 def generation_counts(spark, sf):
-    """Generations with the number of their sources, none counted as 0."""
+    """Generations with the number of their failed links, none counted as 0."""
     inv = load(spark, sf, "inventory")
-    known = inv.select("generation_id").where(F.col("generation_id").isNotNull()).distinct().union(spark.createDataFrame([("gen-9999",)], "generation_id string"))
-    return inventory.with_counts(known, inv, "generation_id", "source_count")
+    return inventory.with_counts(inv.select("generation_id").distinct(), inv.where("status = 'failed' and kind = 'symlink'"), "generation_id", "failed")
 
 
 UNITS = """

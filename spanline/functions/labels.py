@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import deal
 
 # Look-alike letters, Latin to Cyrillic, and Greek to Latin.
 LATIN = "abceikmhoptxyjsABCEIKMHOPTXYJS"
@@ -154,7 +154,7 @@ def resolve_labels(df: DataFrame, label: str, terms: DataFrame, kind: str, out:
         for frame in frames:
             yield pd.DataFrame({"_label": frame["_label"], out: [index.match(x) for x in frame["_label"]]})
 
-    distinct = spread(df.select(F.col(label).alias("_label")).where(F.col(label).isNotNull()).distinct(), "_label")
+    distinct = deal(df.select(F.col(label).alias("_label")).where(F.col(label).isNotNull()).distinct(), "_label")
     found = distinct.mapInPandas(look_up, f"_label string, {out} string").where(F.col(out).isNotNull())
     return df.join(found, df[label] == found["_label"], "left").drop("_label")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.moments import read_moment
-from ..session import exists, kept_folder, spread
+from ..session import deal, exists, kept_folder, spread
 
 #: Raise when the grammar changes: an older dictionary is then not used.
 GRAMMAR = 1
@@ -36,7 +36,7 @@ def extend_dictionary(claims: DataFrame, path: str) -> DataFrame:
     if exists(spark, path):
         k = _known(spark, path).select(F.col("raw").alias("_r"), F.col("site_zone").alias("_z")).distinct()
         wanted = wanted.join(k, (F.col("raw") == F.col("_r")) & F.col("site_zone").eqNullSafe(F.col("_z")), "left_anti")
-    spread(wanted, "raw", "site_zone").mapInPandas(_parse, ENTRY).write.parquet(f"{path}/load={uuid.uuid4().hex}")
+    deal(wanted, "raw", "site_zone").mapInPandas(_parse, ENTRY).write.parquet(f"{path}/load={uuid.uuid4().hex}")
     return _known(spark, path).select("raw", "site_zone", "kind", "moment").distinct()
 
 

@@ -172,3 +172,11 @@ def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Hash-partition by ``keys`` with as many partitions as the session shuffles to."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *[F.col(k) if isinstance(k, str) else k for k in keys])
+
+
+def deal(distinct: DataFrame, *keys: str) -> DataFrame:
+    """Distinct rows dealt over as many tasks as the session shuffles to. By a hash
+    of the keys, not by the keys themselves: a plan already partitioned by them
+    would be left as it is, and small ones folded into one task."""
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return distinct.repartition(n, F.xxhash64(*keys))

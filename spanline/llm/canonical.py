@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import canonical_terms
-from ..session import spread
+from ..session import deal
 from .lookalikes import plain_text, script_tables
 
 # What is written around a term without changing what it means.
@@ -186,7 +186,7 @@ def _looked_up(df: DataFrame, value: str, terms: DataFrame, kind: str, look_up:
         for f in frames:
             yield look_up(trie, f["_v"])
 
-    distinct = spread(df.select(F.col(value).alias("_v")).where(F.col(value).isNotNull()).distinct(), "_v")
+    distinct = deal(df.select(F.col(value).alias("_v")).where(F.col(value).isNotNull()).distinct(), "_v")
     return distinct.mapInPandas(run, schema)
 
 

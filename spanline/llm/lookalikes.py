@@ -182,16 +182,20 @@ ORDINARY = "À-ÖØ-öø-žЀ-ӿ°«»„“”‘’—–¬§№…µ×±"
 
 @lru_cache(maxsize=1)
 def suspect() -> str:
-    """JVM-side test for text that the transducer may change: anything outside
-    ordinary writing, a key of the table inside it, a Greek letter, or letters of
-    two scripts in one run."""
+    """JVM-side test for text that the transducer may change: any character outside
+    ASCII and ordinary writing, or that a key of the table begins with, or letters
+    of two scripts side by side."""
     ordinary = regex.compile(f"[{ORDINARY}]")
-    keys = {k for k in width_table() if len(k) == 1 and ordinary.match(k)}
-    changed = {c for c in map(chr, range(0x80, 0x530)) if ordinary.match(c) and unicodedata.normalize("NFC", c) != c}
-    inside = "".join(sorted(keys | changed))
+    plain = [c for c in map(chr, range(0x80, 0x2200)) if ordinary.match(c) and c not in width_table() and unicodedata.normalize("NFC", c) == c]
+    ranges: list[list[str]] = []
+    for c in plain:
+        if ranges and ord(c) == ord(ranges[-1][1]) + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    kept = "".join(a if a == b else f"{a}-{b}" for a, b in ranges)
     latin, other = "[A-Za-zÀ-ÖØ-öø-ž]", "[Ѐ-ӿ]"
-    rules = [f"[^\\x00-\\x7F{ORDINARY}]", f"{latin}{other}|{other}{latin}"]
-    return "|".join([*rules, f"[{inside}]"] if inside else rules)
+    return f"[^\\x00-\\x7F{kept}]|{latin}{other}|{other}{latin}"
 
 
 @lru_cache(maxsize=4)

@@ -321,34 +321,31 @@ def stem_tokens(spark, sf):
     return words.select("word", T.stem(F.col("word")).alias("stem"))
 
 
-SIMPLE = "NOT regexp_matches(text, '[^\\x00-\\x7FЀ-џҐґ]|[A-Za-z][Ѐ-џҐґ]|[Ѐ-џҐґ][A-Za-z]')"
-
-
-@query(f"""
-WITH t AS (SELECT DISTINCT replace(lower(term_label), 'ё', 'е') AS term FROM concept_terms WHERE regexp_matches(term_label, '^[\\p{{L}}]+$')),
-d AS (SELECT DISTINCT span_id, unnest(string_split_regex(replace(lower(text), 'ё', 'е'), '[^\\p{{L}}\\p{{N}}_.]+')) AS part FROM spans WHERE {SIMPLE}),
-w AS (SELECT DISTINCT span_id, regexp_extract(part, '^([\\p{{L}}\\p{{N}}_]+)', 1) AS term FROM d WHERE NOT regexp_matches(part, '^[\\p{{L}}\\p{{N}}_]+[.][0-9]'))
-SELECT term, count(*) AS spans FROM w JOIN t USING (term) GROUP BY 1""")
+@query("""
+WITH t AS (SELECT DISTINCT replace(lower(term_label), 'ё', 'е') AS term FROM concept_terms WHERE regexp_matches(term_label, '^[\\p{L}]+$')),
+d AS (SELECT DISTINCT term_label, unnest(string_split_regex(replace(lower(term_label), 'ё', 'е'), '[^\\p{L}\\p{N}_.]+')) AS part FROM concept_terms),
+w AS (SELECT DISTINCT term_label, regexp_extract(part, '^([\\p{L}\\p{N}_]+)', 1) AS term FROM d WHERE NOT regexp_matches(part, '^[\\p{L}\\p{N}_]+[.][0-9]'))
+SELECT term, count(*) AS labels FROM w JOIN t USING (term) GROUP BY 1""")
 def token_hits(spark, sf):
-    """Plainly written lines that hold each one-word term as a token."""
-    t = load(spark, sf, "concept_terms").where(F.col("term_label").rlike(r"^\p{L}+$")).select(T.normalise(F.col("term_label")).alias("term")).distinct()
-    d = load(spark, sf, "spans").where(F.col("text").rlike(T.SIMPLE) & ~F.col("text").rlike(T.MIXED)).select("span_id", T.normalise(F.col("text")).alias("text"))
-    words = d.withColumn("term", F.explode(F.array_distinct(R.word_runs(F.col("text"))))).join(t, "term")
-    return words.where(T.contains_token(F.col("text"), F.col("term"))).groupBy("term").agg(F.count_distinct("span_id").alias("spans"))
+    """Listed labels that hold each one-word term as a token."""
+    labels = load(spark, sf, "concept_terms").select("term_label", T.normalise(F.col("term_label")).alias("text")).distinct()
+    t = labels.where(F.col("term_label").rlike(r"^\p{L}+$")).select(F.col("text").alias("term")).distinct()
+    words = labels.withColumn("term", F.explode(F.array_distinct(R.word_runs(F.col("text"))))).join(t, "term")
+    return words.where(T.contains_token(F.col("text"), F.col("term"))).groupBy("term").agg(F.count_distinct("term_label").alias("labels"))
 
 
 @query("""
-WITH t AS (SELECT DISTINCT lower(term_label) AS phrase FROM concept_terms WHERE regexp_matches(term_label, '^[a-zA-Z]+ [a-zA-Z]+$')),
-w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_'']+(?:[-/.][\\p{L}\\p{N}_'']+)*') AS a FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')),
-g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) AS phrase FROM w)
-SELECT phrase, count(*) AS documents FROM g JOIN t USING (phrase) GROUP BY 1""")
+WITH t AS (SELECT DISTINCT replace(lower(term_label), 'ё', 'е') AS phrase FROM concept_terms WHERE regexp_matches(term_label, '^[\\p{L}]+ [\\p{L}]+$')),
+w AS (SELECT DISTINCT term_label, regexp_extract_all(replace(lower(term_label), 'ё', 'е'), '[\\p{L}\\p{N}_'']+(?:[-/.][\\p{L}\\p{N}_'']+)*') AS a FROM concept_terms),
+g AS (SELECT DISTINCT term_label, unnest(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) AS phrase FROM w)
+SELECT phrase, count(*) AS labels FROM g JOIN t USING (phrase) GROUP BY 1""")
 def phrase_hits(spark, sf):
-    """ASCII documents in which the words of a two-word term follow one another (F8)."""
-    t = load(spark, sf, "concept_terms").where(F.col("term_label").rlike("^[a-zA-Z]+ [a-zA-Z]+$")).select(T.normalise(F.col("term_label")).alias("phrase")).distinct()
-    d = load(spark, sf, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    d = d.select("doc_id", T.tokens(T.normalise(F.col("text"))).alias("words"))
+    """Listed labels in which the words of a two-word term follow one another (F8)."""
+    labels = load(spark, sf, "concept_terms").select("term_label", T.normalise(F.col("term_label")).alias("text")).distinct()
+    t = labels.where(F.col("term_label").rlike(r"^\p{L}+ \p{L}+$")).select(F.col("text").alias("phrase")).distinct()
+    d = labels.select("term_label", T.tokens(F.col("text")).alias("words"))
     first = d.withColumn("_w", F.explode(F.array_distinct("words"))).join(t.withColumn("_w", F.split("phrase", " ")[0]), "_w")
-    return first.where(T.contains_phrase(F.col("words"), F.split("phrase", " "))).groupBy("phrase").agg(F.count_distinct("doc_id").alias("documents"))
+    return first.where(T.contains_phrase(F.col("words"), F.split("phrase", " "))).groupBy("phrase").agg(F.count_distinct("term_label").alias("labels"))
 
 
 REJECTED = (("glucose", "A107"),)
@@ -374,34 +371,46 @@ def _stems(label: str) -> str:
     return "array_to_string(list_transform(" + TOKENS.format(f"lower({label})") + f", lambda w: {STEM}), ' ')"
 
 
-#: Labels written plainly: SQL has no compatibility forms or look-alikes.
-PLAIN_LABEL = "NOT regexp_matches(raw_label, '[^\\x00-\\x7FЀ-џҐґ]|[A-Za-z][Ѐ-џҐґ]|[Ѐ-џҐґ][A-Za-z]|[0-9],[0-9]')"
-
-
 @query(f"""
 WITH t AS (SELECT DISTINCT concept_id, {_key('term_label')} AS key, {_stems('term_label')} AS stem_key FROM concept_terms),
-l AS (SELECT DISTINCT raw_label AS label, {_key('raw_label')} AS key, {_stems('raw_label')} AS stem_key FROM lab_facts WHERE {PLAIN_LABEL}),
+l AS (SELECT DISTINCT term_label AS label, {_key('term_label')} AS key, {_stems('term_label')} AS stem_key FROM concept_terms),
 h AS (SELECT key, count(DISTINCT concept_id) AS holders FROM t GROUP BY 1),
 x AS (SELECT l.label, l.key, t.concept_id, CASE WHEN holders > 1 THEN 3 ELSE 0 END AS r FROM l JOIN t ON l.key = t.key JOIN h ON h.key = t.key
  UNION ALL SELECT l.label, l.key, t.concept_id, 1 FROM l JOIN t ON l.stem_key = t.stem_key UNION ALL SELECT l.label, l.key, p.concept_id, 2 FROM l JOIN {_values(PROPOSED, 'key, concept_id', 'p')} ON l.key = p.key)
 SELECT label, concept_id, CASE min(r) WHEN 0 THEN 'mapped' WHEN 1 THEN 'inflected' WHEN 2 THEN 'auto-mapped' ELSE 'ambiguous' END AS status FROM x
 WHERE key <> '' AND (key, concept_id) NOT IN (SELECT * FROM {_values(REJECTED, 'a, b')}) GROUP BY 1, 2""")
 def term_match(spark, sf):
-    """Plainly written labels against the dictionary, with rejections, proposals and ambiguity."""
+    """All listed labels against the dictionary, with rejections, proposals and ambiguity."""
+    return _matched(spark, sf, load(spark, sf, "concept_terms"), "term_label")
+
+
+def _matched(spark: SparkSession, sf: str, labels: DataFrame, column: str) -> DataFrame:
     decisions = spark.createDataFrame([(k, c, "rejected") for k, c in REJECTED], "key string, concept_id string, verdict string")
     proposals = spark.createDataFrame(list(PROPOSED), "key string, concept_id string")
-    labels = load(spark, sf, "lab_facts").where(~F.col("raw_label").rlike(r"[^\x00-\x7FЀ-џҐґ]|[A-Za-z][Ѐ-џҐґ]|[Ѐ-џҐґ][A-Za-z]|[0-9],[0-9]"))
-    return terms.match(labels, "raw_label", _words(spark, sf), decisions=decisions, proposals=proposals)
+    return terms.match(labels, column, _words(spark, sf), decisions=decisions, proposals=proposals)
+
+
+@query()
+def label_matches(spark, sf):
+    """All labels as typed against the dictionary (D3, J3); SQL cannot normalise them."""
+    return _matched(spark, sf, load(spark, sf, "lab_facts"), "raw_label")
 
 
 @query(f"""
-WITH t AS (SELECT DISTINCT concept_id, {_stems('term_label')} AS stem_key FROM concept_terms), l AS (SELECT DISTINCT raw_label AS label, {_stems('raw_label')} AS s FROM lab_facts WHERE {PLAIN_LABEL})
+WITH t AS (SELECT DISTINCT p_type AS concept_id, {_stems("string_split(p_name, ' ')[-1]")} AS stem_key FROM part WHERE p_name IS NOT NULL), l AS (SELECT DISTINCT p_name AS label, {_stems('p_name')} AS s FROM part)
 SELECT DISTINCT label, concept_id FROM l JOIN t ON contains(' ' || s || ' ', ' ' || stem_key || ' ')
 WHERE contains(s, ' ') AND NOT EXISTS (SELECT 1 FROM t u WHERE u.concept_id = t.concept_id AND u.stem_key = l.s)""")
 def propose_terms(spark, sf):
-    """Plainly written labels that hold a term without being it."""
-    labels = load(spark, sf, "lab_facts").where(~F.col("raw_label").rlike(r"[^\x00-\x7FЀ-џҐґ]|[A-Za-z][Ѐ-џҐґ]|[Ѐ-џҐґ][A-Za-z]|[0-9],[0-9]"))
-    return terms.propose(labels, "raw_label", _words(spark, sf))
+    """Names of parts that hold the last word of a name of a type without being it."""
+    part = load(spark, sf, "part")
+    last = part.where(F.col("p_name").isNotNull()).select(F.col("p_type").alias("concept_id"), F.lit("part").alias("kind"), F.element_at(F.split("p_name", " "), -1).alias("term_label"))
+    return terms.propose(part, "p_name", terms.dictionary(last))
+
+
+@query()
+def label_proposals(spark, sf):
+    """Labels as typed that hold a term without being it (D5, G12); SQL cannot normalise them."""
+    return terms.propose(load(spark, sf, "lab_facts"), "raw_label", _words(spark, sf))
 
 
 @query("""

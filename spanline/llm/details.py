@@ -5,21 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tagger
-from .lookalikes import plain_text
+from .lookalikes import plain_text, suspect
 from .pii_training import WEIGHTS
 
 #: What ``plausible`` asks of every detail: a capital letter, an at-sign in some
-#: writing, or a digit. Texts without any would be left without details anyhow.
+#: writing, or a digit. Plain texts without any would be left without details anyhow.
 POSSIBLE = r"\p{Lu}|@|at[\)\]]|\p{Nd}"
-#: A number of up to four digits in a row with its unit and interval, and nothing
-#: else, is no detail either: the shortest has five.
-NUMBER = r"\d+(?:[.,]\d+)?"
-UNIT = r"\s*(?:x?10[\^*]\d{1,2}/\s?\p{L}+|[\p{L}%µμ/·]+(?:\s?(?:/|per)\s?(?:100 )?\p{L}+)?(?:[·*]L-1)?)?\s*"
-MEASURED = rf"^(?!.*\d{{5}})[<>=≤≥\s]*-?{NUMBER}{UNIT}(?:{NUMBER}\s*(?:-|–|to)\s*{NUMBER}{UNIT})?$"
 
 
 def plausible(kind: str, text: str) -> bool:
@@ -36,6 +31,12 @@ def plausible(kind: str, text: str) -> bool:
     return sum(c.isalpha() for c in text) >= 3 and any(c.isupper() for c in text)
 
 
+def possible(column: str) -> Column:
+    """Whether the plain form of a text could hold a plausible detail; a text that is
+    not plain yet may, whatever its characters look like."""
+    return F.col(column).rlike(POSSIBLE) | F.col(column).rlike(suspect())
+
+
 def snapped(text: str, a: int, b: int, kind: str) -> tuple[int, int, str]:
     """A detail without punctuation at its edges and with its words whole."""
     inside = ".+_-" if kind == "email" else ""
@@ -91,7 +92,7 @@ def find_details(df: DataFrame, key: str, column: str, weights: str = WEIGHTS) -
             rows = [(k, kind) for k, spans in zip(f["row_id"], details(texts, weights), strict=True) for kind in dict.fromkeys(s[2] for s in spans)]
             yield pd.DataFrame(rows, columns=["row_id", "pii_type"])
 
-    rows = df.where(F.col(key).isNotNull() & F.col(column).rlike(POSSIBLE) & ~F.col(column).rlike(MEASURED)).select(F.col(key).cast("long").alias("row_id"), F.col(column).alias("t"))
+    rows = df.where(F.col(key).isNotNull() & possible(column)).select(F.col(key).cast("long").alias("row_id"), F.col(column).alias("t"))
     return rows.mapInPandas(find, "row_id long, pii_type string")
 
 
@@ -107,5 +108,5 @@ def redact(df: DataFrame, column: str, out: str = "redacted", weights: str = WEI
         return pd.Series([redacted(t, s) if isinstance(o, str) else None for o, t, s in zip(texts, plain, details(plain, weights), strict=True)], dtype="object")
 
     fixed = F.pandas_udf(replace, "string")
-    can = F.col(column).rlike(POSSIBLE) & ~F.col(column).rlike(MEASURED)
+    can = possible(column)
     return df.withColumn(out, F.when(can, fixed(F.when(can, F.col(column)))).otherwise(F.col(column)))

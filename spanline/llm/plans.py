@@ -49,8 +49,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every wording with its details replaced by placeholders."""
-    return redact(load(spark, sf_dir, "event_facts").select("fact_id", "wording"), "wording").select("fact_id", "redacted")
+    """Every wording and line with its details replaced by placeholders."""
+    parts = (("event_facts", "fact_id", "wording"), ("spans", "span_id", "text"))
+    events, spans = (redact(load(spark, sf_dir, t).select(F.lit(t).alias("tab"), F.col(k).alias("row_id"), c), c).select("tab", "row_id", "redacted") for t, k, c in parts)
+    return events.union(spans)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,27 @@ def test_redact_keeps_nulls(spark):
     assert [r.redacted for r in redact(df, "t").collect()] == ["Details: Mrs. [PERSON].", None, "", "5.1 mmol/L 4.0 - 6.0"]
 
 
+def test_redacted_holds_all_rows_of_both_tables(spark, data):
+    from spanline.llm import plans
+
+    texts = {(t, r[0]): r[1] for t, k, c in (("event_facts", "fact_id", "wording"), ("spans", "span_id", "text")) for r in spark.read.parquet(f"{data}/{t}.parquet").select(k, c).collect()}
+    rows = plans.p6_redacted(spark, data).collect()
+    got = {(r.tab, r.row_id): r.redacted for r in rows}
+    assert len(rows) == len(got) and got.keys() == texts.keys()
+    found = {(r.tab, r.row_id, r.pii_type) for r in plans.p6_found(spark, data).collect()}
+    assert {t for t, _, _ in found} == {"event_facts", "spans"}
+    assert {(*key, kind) for key, text in got.items() for kind in tagger.TYPES if f"[{kind.upper()}]" in text} == found
+    assert all(got[key] == details.plain_text(text) for key, text in texts.items() if key not in {f[:2] for f in found})
+
+
+def test_no_text_is_kept_from_the_tagger(spark):
+    texts = ["reply to marel.lab\uff20inbox.test", "call \u2460\u2461\u2462\u2463\u2464\u2465\u2466\u2467", "mrs. \u24cbelova", "058 5515-6595", "5.1 mmol/L 4.0 - 6.0", "a dry cough"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    want = ["reply to [EMAIL]", "call [ID_NUMBER]", "mrs. [PERSON]", "[PHONE]", *texts[4:]]
+    assert [r.redacted for r in details.redact(df, "t").orderBy("k").collect()] == want
+    assert {tuple(r) for r in details.find_details(df, "k", "t").collect()} == {(0, "email"), (1, "id_number"), (2, "person"), (3, "phone")}
+
+
 SPANS = "span_id long, content_hash string, unit_number int, span_index int, text string, x0 double, reader string"
 
 
